@@ -1,0 +1 @@
+"""Batch operators on series tables."""

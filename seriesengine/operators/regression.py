@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesengine.functions.columns import join_on
 from seriesengine.operators.chunks import KEYS
@@ -47,7 +48,12 @@ def gram_matrix(
     )
 
 
-@F.pandas_udf("struct<intercept double, coef array<double>>")
+FIT = T.StructType(
+    [T.StructField("intercept", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType()))]
+)
+
+
+@F.pandas_udf(FIT)
 def _solve(
     n: pd.Series, sum_y: pd.Series, sum_x: pd.Series, sum_xx: pd.Series, sum_xy: pd.Series
 ) -> pd.DataFrame:

@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesengine.schemas import METRICS, PRICES
 from seriesengine.sources.files import spread
 
+__all__ = [
+    "METRICS", "PRICES", "articles", "bars", "daily_bars", "dated_articles", "lexicon", "metrics",
+    "modifiers", "table", "ticks",
+]
+
+# Terms frequent in the documents, with valences for tests only.
+LEXICON = (
+    ("the", 0.4), ("and", -0.6), ("tion", 1.9), ("ing", -1.3), ("an", 0.8), ("er", -0.4),
+    ("de", 0.3), ("la", -0.7), ("que", 1.2), ("ou", -2.1), ("en", 0.9), ("der", -0.2),
+    ("die", 1.1), ("und", -0.5), ("le", 0.6), ("et", -1.7), ("ha", 2.3), ("re", -0.9),
+)
+BOOSTERS = (("that", 0.293), ("in", 0.293), ("los", 0.293), ("of", -0.293), ("von", -0.293))
+NEGATIONS = ("is", "with", "es", "ist", "un")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,5 +81,33 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.substring("text", 1, 40).alias("title"),
             F.col("text").alias("description"),
             F.col("source").alias("url"),
+            "lang",
         )
     )
+
+
+def dated_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4 with a publication time: one article a minute, in ``doc_id`` order."""
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    return articles(spark, sf_dir).select(
+        "*", (start + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("published_at")
+    )
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw events as one long series per event type."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("series"), F.col("ts").alias("time"),
+        F.col("value").alias("close"),
+    )
+
+
+def lexicon(spark: SparkSession) -> DataFrame:
+    """V6: the valence table."""
+    return spark.createDataFrame(list(LEXICON), "term string, valence double")
+
+
+def modifiers(spark: SparkSession) -> DataFrame:
+    """V6: boosters and negations."""
+    rows = [(t, b, False) for t, b in BOOSTERS] + [(t, 0.0, True) for t in NEGATIONS]
+    return spark.createDataFrame(rows, "term string, boost double, negates boolean")
