@@ -197,10 +197,10 @@ fin AS (
          pos + CASE WHEN pos > neg THEN e ELSE 0 END AS p,
          neg + CASE WHEN pos < neg THEN e ELSE 0 END AS n FROM emph),
 scores AS (
-  SELECT doc_id, round(coalesce(n / nullif(p + n + neu, 0), 0), 3) AS sentiment_neg,
-         round(coalesce(neu / nullif(p + n + neu, 0), 0), 3) AS sentiment_neu,
-         round(coalesce(p / nullif(p + n + neu, 0), 0), 3) AS sentiment_pos,
-         round(x / sqrt(x * x + {W.COMPOUND_ALPHA}), 4) AS sentiment_compound FROM fin)"""
+  SELECT doc_id, round(round(coalesce(n / nullif(p + n + neu, 0), 0), 9), 3) AS sentiment_neg,
+         round(round(coalesce(neu / nullif(p + n + neu, 0), 0), 9), 3) AS sentiment_neu,
+         round(round(coalesce(p / nullif(p + n + neu, 0), 0), 9), 3) AS sentiment_pos,
+         round(round(x / sqrt(x * x + {W.COMPOUND_ALPHA}), 9), 4) AS sentiment_compound FROM fin)"""
 CLASSES = """SELECT CASE WHEN sentiment_compound > 0 THEN 'Positive'
   WHEN sentiment_compound < 0 THEN 'Negative' ELSE 'Neutral' END AS sentiment, count(*) AS count
 FROM scores GROUP BY 1"""

@@ -433,7 +433,9 @@ def tokens(spark, d):
 
 @query
 def lexicon_sentiment(spark, d):
-    return _scored(spark, d).drop("title", "description", "url", "lang", "published_at")
+    return se.lexicon_sentiment(
+        V.articles(spark, d), "description", "doc_id", V.lexicon(spark), V.modifiers(spark)
+    )
 
 
 def _scored(spark, d):

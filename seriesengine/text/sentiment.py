@@ -204,15 +204,19 @@ def _summary(per_doc: DataFrame) -> DataFrame:
     )
     whole = F.col("_p") + F.col("_n") + F.col("_neu")
 
+    def settled(value: Column, digits: int) -> Column:
+        # The order of the additions may not decide how an exact half is rounded.
+        return F.round(F.round(value, 9), digits)
+
     def share(c: str) -> Column:
-        return F.round(F.coalesce(F.try_divide(F.col(c), whole), F.lit(0.0)), 3)
+        return settled(F.coalesce(F.try_divide(F.col(c), whole), F.lit(0.0)), 3)
 
     return out.select(
         "_id",
         share("_n").alias("sentiment_neg"),
         share("_neu").alias("sentiment_neu"),
         share("_p").alias("sentiment_pos"),
-        F.round(F.col("_x") / F.sqrt(F.col("_x") * F.col("_x") + W.COMPOUND_ALPHA), 4).alias(
+        settled(F.col("_x") / F.sqrt(F.col("_x") * F.col("_x") + W.COMPOUND_ALPHA), 4).alias(
             "sentiment_compound"
         ),
     )

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesengine.session import materialize
 from seriesengine.text import words as W
 from seriesengine.text.sentiment import words_of
 
@@ -32,56 +33,48 @@ def content_words(df: DataFrame, col: str, stopwords: Sequence[str] = W.STOPWORD
     return found.where(_not_stopword("word", stopwords))
 
 
-def content_bigrams(df: DataFrame, col: str, stopwords: Sequence[str] = W.STOPWORDS) -> DataFrame:
-    """One row per pair of neighbouring words of a document, neither a stopword."""
+def words_and_bigrams(
+    df: DataFrame, col: str, stopwords: Sequence[str] = W.STOPWORDS
+) -> DataFrame:
+    """Every counted word, and every pair of neighbours of a document without a stopword.
+
+    One row each, from one pass over the text; a pair is its words with a space between.
+    """
     listed = df.where(F.col(col).isNotNull()).select(_clean_words(F.col(col)).alias("_w"))
+    following = F.slice("_w", F.lit(2), F.size("_w"))
     pairs = F.zip_with(
-        F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0))),
-        F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))),
-        lambda a, b: F.struct(a.alias("first"), b.alias("second")),
+        "_w", following, lambda a, b: F.struct(a.alias("first"), b.alias("second"))
     )
-    return listed.select(F.inline(pairs)).where(
-        _not_stopword("first", stopwords) & _not_stopword("second", stopwords)
+    rows = listed.select(F.inline(pairs)).where(_not_stopword("first", stopwords))
+    both = F.when(
+        _not_stopword("second", stopwords), F.concat_ws(" ", "first", "second")
     )
+    return rows.select(F.explode(F.array("first", both)).alias("found")).where("found is not null")
 
 
 def _chop(c: Column) -> Column:
     return F.substring(c, F.lit(1), F.length(c) - 1)
 
 
-def _folded(spellings: DataFrame, spelling: str) -> DataFrame:
-    """(base, has_singular, n, word): counts per term, plurals folded into present singulars.
+def _spellings(found: DataFrame, c: str) -> DataFrame:
+    """(base, spelling, plural, m): how often each spelling occurs, and the term it may fold into.
 
-    A term ending in a single s shares its group with the term without it, so the
-    group itself shows whether the singular exists: no self-join.
+    A term ending in a single s shares its base with the term without it, so the group
+    of a base itself shows whether the singular exists: no self-join.
     """
-    counted = spellings.groupBy(F.col(spelling).alias("_spelling")).agg(F.count(F.lit(1)).alias("_n"))
-    s = F.col("_spelling")
-    plural = F.lower(s).rlike("[^s]s$")
-    stems = (
-        counted.groupBy(
-            F.when(plural, _chop(F.lower(s))).otherwise(F.lower(s)).alias("base"),
-            F.when(plural, _chop(s)).otherwise(s).alias("_stem"),
-        )
-        .agg(
-            F.sum("_n").alias("_n"),
-            F.count_if(~plural).alias("_singles"),
-            F.min_by(s, F.struct(-F.col("_n"), s)).alias("_top"),
-            F.max(F.struct(F.col("_n"))).alias("_top_n"),
-        )
+    counted = found.groupBy(F.col(c).alias("spelling")).agg(F.count(F.lit(1)).alias("m"))
+    low = F.lower("spelling")
+    plural = low.rlike("[^s]s$")
+    return counted.select(
+        F.when(plural, _chop(low)).otherwise(low).alias("base"),
+        "spelling", plural.alias("plural"), "m",
     )
-    return (
-        stems.groupBy("base")
-        .agg(
-            F.sum("_n").alias("n"),
-            (F.sum("_singles") > 0).alias("has_singular"),
-            F.min_by("_stem", F.struct(-F.col("_n"), F.col("_stem"))).alias("_stem"),
-            F.min_by("_top", F.struct(-F.col("_top_n._n"), F.col("_top"))).alias("_top"),
-        )
-        .select(
-            "base", "has_singular", "n",
-            F.when(F.col("has_singular"), F.col("_stem")).otherwise(F.col("_top")).alias("word"),
-        )
+
+
+def _bases(spellings: DataFrame) -> DataFrame:
+    """(base, n, has_singular): counts with plurals folded into present singulars."""
+    return spellings.groupBy("base").agg(
+        F.sum("m").alias("n"), F.bool_or(~F.col("plural")).alias("has_singular")
     )
 
 
@@ -90,8 +83,23 @@ def _term() -> Column:
     return F.when(F.col("has_singular"), base).otherwise(F.concat(base, F.lit("s")))
 
 
-def _by_surface(folded: DataFrame) -> DataFrame:
-    """(term, canonical, total) for every lower-case form that folds into a counted term."""
+def _with_word(chosen: DataFrame, spellings: DataFrame) -> DataFrame:
+    """Add ``word``, the most frequent spelling, to the chosen bases only."""
+    form = F.when(F.col("has_singular") & F.col("plural"), _chop(F.col("spelling"))).otherwise(
+        F.col("spelling")
+    )
+    forms = (
+        spellings.join(chosen.select("base", "has_singular"), "base")
+        .groupBy("base", form.alias("word"))
+        .agg(F.sum("m").alias("m"))
+    )
+    first = Window.partitionBy("base").orderBy(F.desc("m"), "word")
+    best = forms.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    return chosen.join(best.select("base", "word"), "base")
+
+
+def _by_surface(bases: DataFrame) -> DataFrame:
+    """(form, base, has_singular, total) for every lower-case form that counts for a base."""
     base = F.col("base")
     plural = F.concat(base, F.lit("s"))
     forms = (
@@ -99,22 +107,15 @@ def _by_surface(folded: DataFrame) -> DataFrame:
         .when(base.endswith("s"), F.array(base))
         .otherwise(F.array(base, plural))
     )
-    return folded.select(
-        F.explode(forms).alias("term"), _term().alias("canonical"), F.col("n").alias("total")
+    return bases.select(
+        F.explode(forms).alias("form"), "base", "has_singular", F.col("n").alias("total")
     )
 
 
-def _folded_words(df: DataFrame, col: str, stopwords: Sequence[str]) -> DataFrame:
-    return _folded(content_words(df, col, stopwords), "word")
-
-
-def _counts(folded: DataFrame) -> DataFrame:
-    return folded.select(_term().alias("term"), "word", "n")
-
-
 def term_counts(df: DataFrame, col: str, stopwords: Sequence[str] = W.STOPWORDS) -> DataFrame:
     """(term, word, n): lower-case term, its most frequent spelling, its count."""
-    return _counts(_folded_words(df, col, stopwords))
+    spellings = materialize(_spellings(content_words(df, col, stopwords), "word"))
+    return _with_word(_bases(spellings), spellings).select(_term().alias("term"), "word", "n")
 
 
 def _top(counts: DataFrame, k: int) -> DataFrame:
@@ -129,7 +130,9 @@ def term_frequency(
     df: DataFrame, col: str, stopwords: Sequence[str] = W.STOPWORDS, k: int = W.TOP_TERMS
 ) -> DataFrame:
     """T4: the k most frequent words of all texts, without their bigrams."""
-    return _top(term_counts(df, col, stopwords), k)
+    spellings = materialize(_spellings(content_words(df, col, stopwords), "word"))
+    best = _top(_bases(spellings).withColumn("term", _term()), k)
+    return _with_word(best, spellings).select("term", "word", "n", "rel")
 
 
 def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -137,38 +140,26 @@ def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
     return F.log(F.greatest(p, low)) * k + F.log(F.greatest(1 - p, low)) * (n - k)
 
 
-def bigram_llr(
-    df: DataFrame, col: str, stopwords: Sequence[str] = W.STOPWORDS,
-    threshold: float = W.LLR_THRESHOLD,
-) -> DataFrame:
-    """T5: word pairs whose Dunning log-likelihood ratio exceeds ``threshold``.
-
-    Returns (bigram, word, n, first_term, second_term, llr): the lower-case pair, its
-    most frequent spelling, its count and the counted terms it consists of. Pairs do
-    not cross document borders.
-    """
-    return _scored_pairs(df, col, stopwords, threshold, _folded_words(df, col, stopwords))
-
-
-def _scored_pairs(df, col, stopwords, threshold, folded: DataFrame) -> DataFrame:
-    singles = _by_surface(folded)
-    n_words = folded.agg(F.sum("n").cast("double")).scalar()
-    joined = content_bigrams(df, col, stopwords).select(
-        F.concat_ws(" ", "first", "second").alias("pair")
-    )
-    pairs = _folded(joined, "pair").select(_term().alias("bigram"), "word", "n")
-    split = F.split("bigram", " ")
-    pairs = pairs.withColumns({"_first": split[0], "_second": split[1]})
+def _scored_pairs(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """(base, has_singular, n, first_*, second_*, llr) of the pairs above the threshold."""
+    surface = _by_surface(words)
+    n_words = words.agg(F.sum("n").cast("double")).scalar()
 
-    def side(n: str, key: str) -> DataFrame:
-        return singles.select(
-            F.col("term").alias(key), F.col("canonical").alias(f"{n}_term"),
-            F.col("total").cast("double").alias(f"_{n}_n"),
+    def side(name: str) -> DataFrame:
+        return surface.select(
+            F.col("form").alias(f"_{name}"), F.col("base").alias(f"{name}_base"),
+            F.col("has_singular").alias(f"{name}_has_singular"),
+            F.col("total").cast("double").alias(f"_{name}_n"),
         )
 
-    counted = pairs.join(side("first", "_first"), "_first").join(
-        side("second", "_second"), "_second"
-    ).withColumn("_all", n_words)
+    # The term of a pair ends in the surface form of its second word.
+    halves = F.split(_term(), " ")
+    counted = (
+        pairs.withColumns({"_first": halves[0], "_second": halves[1]})
+        .join(side("first"), "_first")
+        .join(side("second"), "_second")
+        .withColumn("_all", n_words)
+    )
     c12 = F.col("n").cast("double")
     c1, c2, total = F.col("_first_n"), F.col("_second_n"), F.col("_all")
     p, p1 = c2 / total, c12 / c1
@@ -178,10 +169,38 @@ def _scored_pairs(df, col, stopwords, threshold, folded: DataFrame) -> DataFrame
         - _log_likelihood(c12, c1, p1) - _log_likelihood(c2 - c12, total - c1, p2)
     )
     llr = F.when((total > c1) & (total > c2), -2 * score).otherwise(F.lit(0.0))
-    return (
-        counted.withColumn("llr", llr)
-        .where(F.col("llr") > threshold)
-        .select("bigram", "word", "n", "first_term", "second_term", "llr")
+    return counted.withColumn("llr", llr).where(F.col("llr") > threshold)
+
+
+def _counted_once(df: DataFrame, col: str, stopwords: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Spellings of words and of pairs. Counting them is the one pass over the text, and
+    what follows reads the counts several times: they are written down."""
+    counted = materialize(_spellings(words_and_bigrams(df, col, stopwords), "found"))
+    is_pair = F.col("spelling").contains(" ")
+    return counted.where(~is_pair), counted.where(is_pair)
+
+
+def _named(name: str) -> Column:
+    base = F.col(f"{name}_base")
+    return F.when(F.col(f"{name}_has_singular"), base).otherwise(F.concat(base, F.lit("s"))).alias(
+        f"{name}_term"
+    )
+
+
+def bigram_llr(
+    df: DataFrame, col: str, stopwords: Sequence[str] = W.STOPWORDS,
+    threshold: float = W.LLR_THRESHOLD,
+) -> DataFrame:
+    """T5: word pairs whose Dunning log-likelihood ratio exceeds ``threshold``.
+
+    Returns (bigram, word, n, first_term, second_term, llr): the lower-case pair, its
+    most frequent spelling, its count and the counted terms it consists of. Pairs do
+    not cross document borders. Spellings are looked up for the pairs that remain.
+    """
+    word_spellings, spellings = _counted_once(df, col, stopwords)
+    kept = _scored_pairs(_bases(spellings), _bases(word_spellings), threshold)
+    return _with_word(kept, spellings).select(
+        _term().alias("bigram"), "word", "n", _named("first"), _named("second"), "llr"
     )
 
 
@@ -193,18 +212,30 @@ def word_cloud(
 
     The count of a collocation is taken off both of its words; what falls to zero goes.
     """
-    folded = _folded_words(df, col, stopwords)
-    singles = _counts(folded)
-    pairs = _scored_pairs(df, col, stopwords, threshold, folded)
+    word_spellings, pair_spellings = _counted_once(df, col, stopwords)
+    words = _bases(word_spellings)
+    # The pairs are read twice, once for what they take off and once for themselves.
+    pairs = materialize(
+        _scored_pairs(_bases(pair_spellings), words, threshold).select(
+            "base", "n", "has_singular", "first_base", "second_base"
+        )
+    )
     taken = pairs.select(
-        F.explode(F.array("first_term", "second_term")).alias("term"),
-        F.lit(None).cast("string").alias("word"),
-        (-F.col("n")).alias("n"),
+        F.explode(F.array("first_base", "second_base")).alias("base"),
+        (-F.col("n")).alias("n"), F.lit(None).cast("boolean").alias("has_singular"),
     )
     left = (
-        singles.unionByName(taken)
-        .groupBy("term")
-        .agg(F.max("word").alias("word"), F.sum("n").alias("n"))
+        words.unionByName(taken)
+        .groupBy("base")
+        .agg(F.sum("n").alias("n"), F.bool_or("has_singular").alias("has_singular"))
         .where(F.col("n") > 0)
     )
-    return _top(left.unionByName(pairs.select(F.col("bigram").alias("term"), "word", "n")), k)
+    both = left.withColumn("pair", F.lit(False)).unionByName(
+        pairs.select("base", "n", "has_singular", F.lit(True).alias("pair"))
+    )
+    best = materialize(_top(both.withColumn("term", _term()), k))
+    return (
+        _with_word(best.where(~F.col("pair")), word_spellings)
+        .unionByName(_with_word(best.where("pair"), pair_spellings))
+        .select("term", "word", "n", "rel")
+    )
