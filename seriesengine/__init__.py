@@ -1,5 +1,6 @@
 """Price-like time series and news text as Spark plans over many series at once."""
 
+from seriesengine import schemas
 from seriesengine.functions.columns import (
     day_name, day_of_week, lenient_time, millis_time, nan_to_null, ratio, row_mean,
     sentiment_class, strict_time,

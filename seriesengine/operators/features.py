@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesengine.functions.columns import day_of_week, join_on, ratio
-from seriesengine.operators.chunks import KEYS, over_rows, resolve_chunks
-from seriesengine.operators.quality import require_columns, require_unique_times
+from seriesengine.operators.chunks import KEYS, ROWS_PER_CHUNK, over_rows, resolve_chunks
+from seriesengine.operators.quality import require_columns
 from seriesengine.operators.rolling import change, forward_fill, rolling
 from seriesengine.operators.scaling import apply_minmax, fit_minmax
 from seriesengine.schemas import METRICS, PRICES
@@ -26,12 +26,14 @@ def ohlc_features(
 ) -> DataFrame:
     """partial moving averages, the return of the close and calendar features.
 
-    ``check`` first raises on an empty table and on duplicate times, which costs
-    one aggregate over (keys, time).
+    ``check`` first raises on an empty table and on duplicate times. Its one aggregate
+    over (keys, time) also tells whether a series must be cut.
     """
-    require_columns(df, [*keys, time_col, *PRICES], min_rows=1 if check else 0)
+    require_columns(df, [*keys, time_col, *PRICES])
     if check:
-        require_unique_times(df, keys=keys, time_col=time_col)
+        longest = longest_unique_series(df, keys, time_col)
+        if chunks == "auto" and longest <= ROWS_PER_CHUNK:
+            chunks = None
     plan = resolve_chunks(df, keys, time_col, chunks)
     filled = forward_fill(df, {"close": "_filled"}, keys=keys, time_col=time_col, chunks=plan)
 
@@ -54,6 +56,20 @@ def ohlc_features(
     )
 
 
+def longest_unique_series(df: DataFrame, keys: Sequence[str], time_col: str) -> int:
+    """Rows of the longest series; raises on an empty table and on a time held twice."""
+    per_time = df.groupBy(*keys, time_col).agg(F.count(F.lit(1)).alias("_copies"))
+    per_series = per_time.groupBy(*keys).agg(
+        F.sum("_copies").alias("_rows"), F.max("_copies").alias("_copies")
+    )
+    seen = per_series.agg(F.max("_rows").alias("longest"), F.max("_copies").alias("copies")).first()
+    if not seen["longest"]:
+        raise ValueError("the table is empty")
+    if seen["copies"] > 1:
+        raise ValueError("duplicate timestamps in a series")
+    return seen["longest"]
+
+
 def market_features(
     df: DataFrame, scaled: bool = True,
     *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",

@@ -17,17 +17,17 @@ from pyspark.sql import functions as F
 
 from seriesengine.functions.columns import day_of_week, join_on
 from seriesengine.operators.aggregates import last_known, regression_metrics
-from seriesengine.operators.chunks import KEYS, over_rows, resolve_chunks
+from seriesengine.operators.chunks import KEYS, ROWS_PER_CHUNK, over_rows, resolve_chunks
 from seriesengine.operators.decompose import seasonal_decompose
 from seriesengine.operators.features import (
-    MARKET_SCALED, lag_features, market_features, ohlc_features,
+    MARKET_SCALED, lag_features, longest_unique_series, market_features, ohlc_features,
 )
 from seriesengine.operators.quality import require_columns
 from seriesengine.operators.regression import fit_ols, predict_linear
 from seriesengine.operators.rolling import change
 from seriesengine.operators.scaling import apply_minmax, fit_minmax, invert_minmax, unscaled
 from seriesengine.operators.sequences import hash_split, sequence_frame, series_tail
-from seriesengine.schemas import METRICS
+from seriesengine.schemas import METRICS, PRICES
 from seriesengine.session import materialize
 
 OLS_FEATURES = (
@@ -65,8 +65,11 @@ def ols_frame(
     df: DataFrame, *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto"
 ) -> DataFrame:
     """F1 → D1: the features a forecast is fitted on, incomplete rows included."""
-    plan = resolve_chunks(df, keys, time_col, chunks)
-    featured = ohlc_features(df, keys=keys, time_col=time_col, chunks=plan)
+    require_columns(df, [*keys, time_col, *PRICES])
+    longest = longest_unique_series(df, keys, time_col)
+    whole = chunks == "auto" and longest <= ROWS_PER_CHUNK
+    plan = None if whole else resolve_chunks(df, keys, time_col, chunks)
+    featured = ohlc_features(df, check=False, keys=keys, time_col=time_col, chunks=plan)
     return seasonal_decompose(featured, keys=keys, time_col=time_col, chunks=plan)
 
 
@@ -284,6 +287,8 @@ def fit_sequence_forecast(
     longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if longest < n_steps:
         raise ValueError(f"at least {n_steps} rows are needed")
+    whole = chunks == "auto" and longest <= ROWS_PER_CHUNK
+    chunks = None if whole else chunks
     lagged = lag_features(df, keys=keys, time_col=time_col, chunks=chunks)
     bounds = materialize(fit_minmax(lagged, LAG_FEATURES, keys=keys))
     base = materialize(apply_minmax(lagged, bounds, LAG_FEATURES, keys=keys))
