@@ -27,22 +27,27 @@ from seriesengine.session import materialize
 
 KEYS = ("series",)
 ROWS_PER_CHUNK = 4_000_000
-# Bounds the two broadcast tables whatever the data: at most MAX_CHUNKS series
-# can be longer than rows / MAX_CHUNKS, and their cells number at most
-# 2 * MAX_CHUNKS * CELLS_PER_CHUNK (800,000 narrow rows).
+# Bounds the broadcast tables whatever the data: at most MAX_CHUNKS series or cells can
+# hold more than rows / MAX_CHUNKS rows each, so a level has at most
+# 2 * MAX_CHUNKS * CELLS_PER_CHUNK cells (800,000 narrow rows; 3.2 million in all).
 MAX_CHUNKS = 50_000
 CELLS_PER_CHUNK = 8
+MAX_LEVELS = 4
 
 
 @dataclass(frozen=True)
 class ChunkPlan:
-    """How the long series of one table are cut; holds for exactly that table's rows."""
+    """How the long series of one table are cut; holds for exactly that table's rows.
+
+    Level 0 divides every long series into cells of equal width; each further level
+    divides the cells that still hold more than a chunk, as a burst in time does.
+    """
 
     keys: tuple[str, ...]
     order_by: str
     rows_per_chunk: int
-    long_series: DataFrame  # keys, _lo, _hi, _width, _total
-    cells: DataFrame  # keys, _cell, _chunk, _start (rows of the series before the chunk)
+    levels: tuple[DataFrame, ...]  # keys, cells so far, _lo, _hi, _width; level 0 also _total
+    cells: DataFrame  # keys, all cells, _chunk, _start (rows of the series before the chunk)
 
 
 def _order_number(df: DataFrame, order_by: str) -> Column:
@@ -77,32 +82,56 @@ def plan_chunks(
     if not seen["rows"] or seen["longest"] <= rows_per_chunk:
         return None
     size = max(rows_per_chunk, ceil(seen["rows"] / MAX_CHUNKS))
-    n_cells = F.ceil(F.col("_total") / size) * CELLS_PER_CHUNK
-    long_series = materialize(
-        totals.where((F.col("_total") > size) & F.col("_lo").isNotNull()).withColumn(
-            "_width", F.floor((F.col("_hi") - F.col("_lo")) / n_cells) + 1
+    spans = totals.withColumnRenamed("_total", "_rows")
+    levels: list[DataFrame] = []
+    while True:
+        wide = spans.where((F.col("_rows") > size) & (F.col("_lo") < F.col("_hi")))
+        levels.append(materialize(_with_width(wide, size)))
+        located, path = _locate(numbered, levels, keys, "inner")
+        spans = materialize(
+            located.groupBy(*path).agg(
+                F.count(F.lit(1)).alias("_rows"), F.min("_ord").alias("_lo"),
+                F.max("_ord").alias("_hi"),
+            )
         )
-    )
-    counted = (
-        join_on(numbered, F.broadcast(long_series), list(keys), "inner")
-        .groupBy(*keys, _cell().alias("_cell"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    along = Window.partitionBy(*keys).orderBy("_cell")
+        crowded = spans.where((F.col("_rows") > size) & (F.col("_lo") < F.col("_hi")))
+        if len(levels) == MAX_LEVELS or crowded.isEmpty():
+            break
+    levels[0] = levels[0].withColumnRenamed("_rows", "_total")
+    levels[1:] = [level.drop("_rows") for level in levels[1:]]
+
+    whole = Window.partitionBy(*keys)
+    along = whole.orderBy(*path[len(keys):])
     before = F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1))
     cells = (
-        counted.withColumn("_before", F.coalesce(before, F.lit(0)))
+        spans.withColumn("_before", F.coalesce(before, F.lit(0)))
         .withColumn("_slice", F.floor(F.col("_before") / size))
-        .withColumn("_chunk", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_slice")) - 1)
+        .withColumn("_chunk", F.dense_rank().over(whole.orderBy("_slice")) - 1)
         .withColumn("_start", F.min("_before").over(Window.partitionBy(*keys, "_chunk")))
-        .select(*keys, "_cell", "_chunk", "_start")
+        .select(*path, "_chunk", "_start")
     )
-    return ChunkPlan(tuple(keys), order_by, size, long_series, materialize(cells))
+    return ChunkPlan(tuple(keys), order_by, size, tuple(levels), materialize(cells))
+
+
+def _with_width(spans: DataFrame, size: int) -> DataFrame:
+    n_cells = F.ceil(F.col("_rows") / size) * CELLS_PER_CHUNK
+    return spans.withColumn("_width", F.floor((F.col("_hi") - F.col("_lo")) / n_cells) + 1)
 
 
-def _cell() -> Column:
-    # Rows without an order value sort last, so they go with the last cell.
-    return F.floor((F.coalesce("_ord", "_hi") - F.col("_lo")) / F.col("_width"))
+def _locate(
+    numbered: DataFrame, levels: Sequence[DataFrame], keys: Sequence[str], how: str
+) -> tuple[DataFrame, list[str]]:
+    """Add the cell of every row at each level (0 where a level does not divide further)."""
+    path = list(keys)
+    for i, level in enumerate(levels):
+        joined = join_on(numbered, F.broadcast(level), path, "left" if i else how)
+        # Rows without an order value sort last, so they go with the last cell.
+        at = F.coalesce("_ord", "_hi") - F.col("_lo")
+        numbered = joined.withColumn(
+            f"_cell{i}", F.coalesce(F.floor(at / F.col("_width")), F.lit(0))
+        ).drop("_lo", "_hi", "_width", "_rows")
+        path.append(f"_cell{i}")
+    return numbered, path
 
 
 def resolve_chunks(
@@ -114,13 +143,12 @@ def resolve_chunks(
 
 def assign_chunks(df: DataFrame, plan: ChunkPlan) -> DataFrame:
     """Add ``_chunk``, ``_start`` and ``_total`` (the last two NULL for short series)."""
-    keys = list(plan.keys)
     numbered = df.withColumn("_ord", _order_number(df, plan.order_by))
-    located = join_on(numbered, F.broadcast(plan.long_series), keys).withColumn("_cell", _cell())
+    located, path = _locate(numbered, plan.levels, plan.keys, "left")
     return (
-        join_on(located, F.broadcast(plan.cells), [*keys, "_cell"])
+        join_on(located, F.broadcast(plan.cells), path)
         .withColumn("_chunk", F.coalesce("_chunk", F.lit(0)))
-        .drop("_ord", "_lo", "_hi", "_width", "_cell")
+        .drop("_ord", *path[len(plan.keys):])
     )
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import seriesengine as se
-from seriesengine.operators.chunks import plan_chunks
+from seriesengine.operators.chunks import assign_chunks, plan_chunks
 from conftest import collected
 
 
@@ -115,6 +115,31 @@ def test_a_burst_in_time_and_missing_times(spark):
     whole = se.rolling_mean(df, "v", 9, "x", chunks=None)
     cut = se.rolling_mean(df, "v", 9, "x", chunks=plan)
     assert whole.exceptAll(cut).isEmpty() and cut.count() == 1000
+    # The burst is cut too: 900 rows in one cell of the first level.
+    assert len(plan.levels) > 1
+    sizes = assign_chunks(df, plan).groupBy("_chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 100
+
+
+def test_rows_of_one_time_stay_together(spark):
+    df = spark.range(200).select(
+        F.lit("a").alias("series"), F.timestamp_seconds(F.lit(0)).alias("time"), "id",
+        F.col("id").cast("double").alias("v"),
+    ).unionByName(
+        spark.range(50).select(
+            F.lit("a").alias("series"), F.timestamp_seconds(F.col("id") + 1).alias("time"),
+            (F.col("id") + 1000).alias("id"), F.col("id").cast("double").alias("v"),
+        )
+    )
+    plan = plan_chunks(df, rows_per_chunk=30)
+
+    def summed(chunks):
+        def build(d, w):
+            return d.withColumn("x", F.sum("v").over(w.rowsBetween(-4, 0)))
+
+        return se.over_rows(df, build, ties=["id"], before=4, chunks=chunks)
+
+    assert summed(None).exceptAll(summed(plan)).isEmpty()
 
 
 def test_hash_split_is_exact_and_independent_of_cuts(walks):
