@@ -183,8 +183,10 @@ weighted AS (
   SELECT *, coalesce(v3 * CASE WHEN but_ix = 0 OR ix = but_ix THEN 1.0
     WHEN ix < but_ix THEN {W.BEFORE_BUT} ELSE {W.AFTER_BUT} END, 0) AS s FROM s3),
 sums AS (
-  SELECT doc_id, sum(s) AS total, sum(CASE WHEN s > 0 THEN s + 1 ELSE 0 END) AS pos,
-         sum(CASE WHEN s < 0 THEN 1 - s ELSE 0 END) AS neg, count(*) FILTER (s = 0) AS neu
+  SELECT doc_id, round(sum(s), 9) AS total,
+         round(sum(CASE WHEN s > 0 THEN s + 1 ELSE 0 END), 9) AS pos,
+         round(sum(CASE WHEN s < 0 THEN 1 - s ELSE 0 END), 9) AS neg,
+         count(*) FILTER (s = 0) AS neu
   FROM weighted GROUP BY 1),
 emph AS (
   SELECT d.doc_id, coalesce(total, 0) AS total, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg,

@@ -133,6 +133,11 @@ def _modified(valence: Column, d: int) -> Column:
     return F.when(negated, moved * W.NEGATION_FACTOR).otherwise(moved)
 
 
+def _steady_sum(value: Column) -> Column:
+    """A sum whose sign and ties do not hang on the order of the additions."""
+    return F.round(F.sum(value), 9)
+
+
 def lexicon_sentiment(
     df: DataFrame, col: str, id_col: str, lexicon: DataFrame, modifiers: DataFrame | None = None
 ) -> DataFrame:
@@ -179,9 +184,9 @@ def lexicon_sentiment(
     per_doc = scored.groupBy("_id").agg(
         F.max("_excl").alias("_excl"),
         F.max("_quest").alias("_quest"),
-        F.sum("_s").alias("_sum"),
-        F.sum(F.when(F.col("_s") > 0, F.col("_s") + 1).otherwise(F.lit(0.0))).alias("_pos"),
-        F.sum(F.when(F.col("_s") < 0, 1 - F.col("_s")).otherwise(F.lit(0.0))).alias("_neg"),
+        _steady_sum(F.col("_s")).alias("_sum"),
+        _steady_sum(F.when(F.col("_s") > 0, F.col("_s") + 1).otherwise(F.lit(0.0))).alias("_pos"),
+        _steady_sum(F.when(F.col("_s") < 0, 1 - F.col("_s")).otherwise(F.lit(0.0))).alias("_neg"),
         F.count_if(F.col("_said") & (F.col("_s") == 0)).alias("_neu"),
     )
     return _summary(per_doc).withColumnRenamed("_id", id_col)
