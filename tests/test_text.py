@@ -88,8 +88,8 @@ def test_over_time_needs_a_time(spark):
 
 
 TEXTS = [
-    "Bitcoin prices rise. Bitcoin price rises again, says John's bank 2024",
-    "BITCOIN price; the banks and the bank of été, été! glass glasses",
+    "Copper prices rise. Copper price rises again, says John's bank 2024",
+    "COPPER price; the banks and the bank of été, été! glass glasses",
     None,
     "New York traders: new york Trader new york",
 ]
