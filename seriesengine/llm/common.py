@@ -25,8 +25,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text; no words for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), SEPARATORS)
-    return F.filter(parts, lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SEPARATORS))
 
 
 def utf8_bytes(text: Column) -> Column:

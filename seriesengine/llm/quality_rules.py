@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesengine.llm.common import SPACES, let, words
+from seriesengine.llm.common import let, words
 from seriesengine.session import materialize
 
-SYMBOLS = "#*$%&|<>"
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
+SYMBOLS = "[#*$%&|<>]"
+NOT_SPACE = "[^\\x20\\x09-\\x0D]"
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,6 @@ def rules() -> tuple[Rule, ...]:
     shares = (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)
     return (
         Rule("symbols per word", _ratio("n_symbols", "n_words"), (3.0, 2.0, 1.5, 1.0, *shares)),
-        Rule("marks per word", _ratio("n_marks", "n_words"), (3.0, 2.0, 1.5, 1.0, *shares)),
         Rule("upper case share", _ratio("n_upper", "word_chars"), shares),
         Rule("repeated word share", _ratio("n_repeat_words", "n_words"), shares),
         Rule("repeated line share", _ratio("n_dup_lines", "n_lines"), shares),
@@ -70,26 +70,23 @@ def _repeat_words(w: Column) -> Column:
 def text_stats(text: Column) -> Column:
     """A struct of STATS for a text; null counts as empty.
 
-    Words are runs without white space; symbols are the characters of SYMBOLS; a repeated line
-    has a word and equals an earlier line of the text; marks are ``!`` and ``?``; upper case
-    means A to Z. All of the text is read, whatever its length.
+    Words are runs without white space; symbols match SYMBOLS; a repeated line
+    has a word and equals an earlier line of the text; upper case means A to Z. All of the text is read, whatever its length.
     """
     text = F.coalesce(text, F.lit(""))
-    without = lambda t, chars: F.translate(t, chars, "")
-    lines = F.filter(F.split(text, "\n"), lambda x: without(x, SPACES) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
 
     def stats(w: Column) -> Column:
         return let(
             lines,
             lambda rows: F.struct(
                 F.size(w).cast("long").alias("n_words"),
-                F.length(without(text, SPACES)).cast("long").alias("word_chars"),
-                (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
                 (F.size(rows) - F.size(F.array_distinct(rows))).cast("long").alias("n_dup_lines"),
                 _repeat_words(w).alias("n_repeat_words"),
                 F.size(rows).cast("long").alias("n_lines"),
-                (F.length(text) - F.length(without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).cast("long").alias("n_upper"),
-                (F.length(text) - F.length(without(text, "!?"))).cast("long").alias("n_marks"),
+                F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_upper"),
             ),
         )
 
