@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesengine.session import materialize
@@ -43,3 +45,47 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     members = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return members.union(roots)
+
+
+def _open(postings: DataFrame, edges: DataFrame) -> DataFrame:
+    """Postings with their component, under keys that still have more than one."""
+    found = components(edges).toDF("id", "comp")
+    labelled = materialize(postings.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
+    return materialize(labelled.join(mixed.select("key"), "key", "left_semi"))
+
+
+def confirmed_links(
+    postings: DataFrame, sketches: DataFrame, near: Callable[[str, str], Column],
+    verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2,
+) -> DataFrame:
+    """Verified edges (a, b), enough of them for the exact components.
+
+    ``postings`` has (key, id): ids that may be linked meet under a key. ``sketches`` has (id,
+    columns that ``near`` reads); ``near("x", "y")`` is a cheap condition that every link meets,
+    and ``verify`` keeps the linked ones of (a, b). First each key's ids are compared with one
+    hub of it, another hub in each round: this merges groups of any size with a number of pairs
+    that is linear in the postings. Then, under keys that still hold several components, the
+    pairs across components that are ``near`` are verified, so that no link between components
+    is missed. Pairs inside a component can change nothing.
+    """
+    sketch = F.struct(*(c for c in sketches.columns if c != "id"))
+    a = sketches.select(F.col("id").alias("a"), sketch.alias("x"))
+    b = sketches.select(F.col("id").alias("b"), sketch.alias("y"))
+    edges = sketches.sparkSession.createDataFrame([], "a long, b long")
+    labelled = postings.withColumn("comp", F.col("id"))
+    for turn in range(star_rounds):
+        order = F.col("id") if turn == 0 else F.xxhash64("comp", F.lit(turn))
+        hub = labelled.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("hub"))
+        spokes = labelled.join(hub, "key").filter("comp <> hub.comp")
+        pairs = spokes.selectExpr("least(id, hub.id) as a", "greatest(id, hub.id) as b").distinct()
+        close = pairs.join(a, "a").join(b, "b").filter(near("x", "y")).select("a", "b")
+        edges = materialize(edges.union(verify(close)))
+        labelled = _open(postings, edges)
+    left = labelled.join(sketches.select("id", sketch.alias("x")), "id")
+    right = left.select("key", F.col("id").alias("id_b"), F.col("comp").alias("comp_b"), F.col("x").alias("y"))
+    rest = (
+        left.join(right, "key").filter((F.col("comp") < F.col("comp_b")) & near("x", "y"))
+        .selectExpr("least(id, id_b) as a", "greatest(id, id_b) as b").distinct()
+    )
+    return edges.union(materialize(verify(rest)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesengine.llm.common import flat_bytes, mix64, slices
-from seriesengine.llm.graph import components
+from seriesengine.llm.graph import components, confirmed_links
 from seriesengine.session import materialize
 
 #: Coordinates of a signature, and how many must agree for a pair to be checked. At a similarity
@@ -168,54 +168,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * inter >= percent * union).select("a", "b")
 
 
-def _labelled(postings: DataFrame, edges: DataFrame) -> DataFrame:
-    found = components(edges).toDF("id", "comp")
-    return postings.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
-
-def _open(labelled: DataFrame) -> DataFrame:
-    """Postings under keys that still have more than one component."""
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
-    return labelled.join(mixed.select("key"), "key", "left_semi")
-
-
-def linked_sets(classes: DataFrame, sets_of, percent: int, star_rounds: int = 2) -> DataFrame:
+def linked_sets(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Verified links (a, b) between different sets, enough of them for the exact components.
 
     ``classes`` has one row (id, packed) for each distinct set; ``sets_of(ids)`` gives (id, set).
-    First every posting list is joined to one hub of it, by different hubs in each round, and
-    links are confirmed on whole sets: this merges groups of any size with a number of pairs
-    that is linear in the postings. Then, under keys that still hold several components, all
-    pairs across components whose sketches agree often enough are confirmed, so that no link
-    between components is missed. Pairs inside a component can change nothing.
     """
     postings = materialize(_postings(classes))
-    sets = materialize(sets_of(postings.select("id").distinct()))
-    sketch = materialize(
-        classes.join(postings.select("id").distinct(), "id", "left_semi").select("id", *_sketch(F.col("packed")))
-    )
-    a = sketch.select(F.col("id").alias("a"), F.struct(*sketch.columns[1:]).alias("x"))
-    b = sketch.select(F.col("id").alias("b"), F.struct(*sketch.columns[1:]).alias("y"))
-
-    edges = sketch.sparkSession.createDataFrame([], "a long, b long")
-    labelled = postings.withColumn("comp", F.col("id"))
-    for turn in range(star_rounds):
-        hub = labelled.groupBy("key").agg(
-            F.min_by(F.struct("id", "comp"), F.col("id") if turn == 0 else F.xxhash64("comp", F.lit(turn))).alias("hub")
-        )
-        spokes = labelled.join(hub, "key").filter("comp <> hub.comp")
-        pairs = spokes.selectExpr("least(id, hub.id) as a", "greatest(id, hub.id) as b").distinct()
-        near = pairs.join(a, "a").join(b, "b").filter(_agreeing("x", "y") >= MATCHES).select("a", "b")
-        edges = materialize(edges.union(_verified(near, sets, percent)))
-        labelled = materialize(_open(_labelled(postings, edges)))
-    left = labelled.join(sketch.select("id", F.struct(*sketch.columns[1:]).alias("x")), "id")
-    right = left.select(F.col("id").alias("id_b"), "key", F.col("comp").alias("comp_b"), F.col("x").alias("y"))
-    rest = (
-        left.join(right, "key")
-        .filter((F.col("comp") < F.col("comp_b")) & (_agreeing("x", "y") >= MATCHES))
-        .selectExpr("least(id, id_b) as a", "greatest(id, id_b) as b").distinct()
+    ids = postings.select("id").distinct()
+    sets = materialize(sets_of(ids))
+    sketches = materialize(classes.join(ids, "id", "left_semi").select("id", *_sketch(F.col("packed"))))
+    return confirmed_links(
+        postings, sketches, lambda x, y: _agreeing(x, y) >= MATCHES, lambda pairs: _verified(pairs, sets, percent)
     )
-    return edges.union(materialize(_verified(rest, sets, percent)))
 
 
 def near_duplicates(
