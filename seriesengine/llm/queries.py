@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesengine.llm import quality_rules, sharding, tokens
+from seriesengine.llm import (
+    decontaminate,
+    line_dedup,
+    minhash,
+    mixing,
+    quality_model,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    tokens,
+    warc,
+)
 from seriesengine.llm.common import table
 
 SHARDS = 16
@@ -30,10 +41,41 @@ def op1_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page is looked up by its URL in the index and read back from its archive."""
+    captures, shards, folder = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.read_records(warc.find_captures(captures.select("surt"), shards, folder), folder)
+
+
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), n_words=3, percent=85)
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.benchmark_overlaps(docs, benchmark)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dropped_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(
@@ -41,5 +83,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_shards, op3_token_counts, op10_quality_rules)}
+_ALL = (
+    op1_jump_shards, op2_suffix_dedup, op3_token_counts, op4_mix_sources, op5_warc, op6_minhash_dedup,
+    op7_decontaminate, op8_quality_classifier, op9_fuzzy_lines, op10_quality_rules,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
