@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,27 @@ from seriesengine.llm.common import flat_bytes, mix64, slices
 from seriesengine.llm.graph import components, confirmed_links
 from seriesengine.session import materialize
 
-#: Coordinates of a signature, and how many must agree for a pair to be checked. At a similarity
-#: of 0.8 the number that agree is binomial (64, 0.8): fewer than 30 has a chance below 1e-8.
-COORDINATES, MATCHES = 64, 30
+#: Coordinates of a signature under which sets are posted, and of the finer sketch (a byte each,
+#: seven to a long) that decides which pairs are confirmed on whole sets.
+COORDINATES, FINE = 64, 252
+#: Longs of the fine sketch that are compared before the others.
+AHEAD = 9
+#: Chance that a pair right at the threshold has fewer agreeing coordinates than are asked for.
+MISS = 1e-7
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 / golden ratio, as in SplitMix64
 _BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
-_SEEDS = mix64(np.arange(1000, 1000 + COORDINATES, dtype=np.uint64) * _GOLDEN)
+_SEEDS = mix64(np.arange(1000, 1000 + FINE, dtype=np.uint64) * _GOLDEN)
+
+
+def least_matches(coordinates: int, percent: int) -> int:
+    """The match threshold: agreeing coordinates are binomial with the similarity, and a linked
+    pair has fewer than this with a chance of at most MISS."""
+    p, chance, t = percent / 100, 0.0, 0
+    while True:
+        chance += comb(coordinates, t) * p**t * (1 - p) ** (coordinates - t)
+        if chance > MISS:
+            return t
+        t += 1
 
 
 def shingle_hashes(column: pa.Array, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +90,7 @@ def _signatures(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
     full = np.flatnonzero(at[1:] > at[:-1])
     begin = at[:-1][full]
     sig = np.empty((len(full), COORDINATES), np.uint32)
-    for k, seed in enumerate(_SEEDS):
+    for k, seed in enumerate(_SEEDS[:COORDINATES]):
         sig[:, k] = (np.minimum.reduceat(mix64(shingles ^ seed), begin) >> np.uint64(32)).astype(np.uint32)
     digest = np.empty((len(full), 2), np.uint64)
     for k in range(2):
@@ -120,43 +136,50 @@ def _coordinate(packed: Column, k: int) -> Column:
     return F.substring(packed, 4 * k + 1, 4)
 
 
-def _sketch(packed: Column) -> list[Column]:
-    """Eight longs with the lowest byte of each of the 64 coordinates."""
-    return [
-        F.conv(F.hex(F.concat(*(F.substring(packed, 4 * (8 * j + i) + 4, 1) for i in range(8)))), 16, -10)
-        .cast("long").alias(f"s{j}")
-        for j in range(8)
-    ]
+def _fine(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """FINE coordinates of one byte for each row, as longs; rows without shingles have zeros."""
+    out = np.zeros((len(at) - 1, FINE // 7, 8), np.uint8)  # little-endian: the top byte stays 0
+    full = np.flatnonzero(at[1:] > at[:-1])
+    for k, seed in enumerate(_SEEDS):
+        if len(full):
+            least = np.minimum.reduceat(mix64(shingles ^ seed), at[:-1][full])
+            out[full, k // 7, k % 7] = (least & np.uint64(255)).astype(np.uint8)
+    return out.view(np.int64)[:, :, 0]
+
+
+def _different(a: Column, b: Column) -> Column:
+    """How many of the lower seven bytes of two longs differ."""
+    x, low = a.bitwiseXOR(b), F.lit(0x7F7F7F7F7F7F7F)
+    # Adding 7F sets a byte's top bit if any lower bit is set, and never carries over.
+    return F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(F.lit(0x80808080808080)))
 
 
-def _agreeing(a: str, b: str) -> Column:
-    """How many of the 64 bytes of two sketches are equal; never fewer than agreeing coordinates."""
-    different = F.lit(0)
-    for j in range(8):
-        x = F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))
-        for shift in (4, 2, 1):  # the lowest bit of each byte becomes the or of its bits
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        different = different + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return F.lit(64) - different
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether enough bytes of two fine sketches agree; bytes agree wherever coordinates do."""
+    ahead = sum((_different(F.get(f"{a}.fine", F.lit(j)), F.get(f"{b}.fine", F.lit(j))) for j in range(AHEAD)), F.lit(0))
+    each = F.zip_with(f"{a}.fine", f"{b}.fine", _different)
+    whole = F.aggregate(each, F.lit(0), lambda n, d: n + d)
+    return (ahead <= 7 * AHEAD - least_matches(7 * AHEAD, percent)) & (whole <= FINE - least_matches(FINE, percent))
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(key, id): each set under its rarest coordinate-value pairs.
+def _postings(classes: DataFrame, matches: int) -> DataFrame:
+    """(id, keys, weight): each set under its rarest coordinate-value pairs.
 
-    Of 64 coordinates at least MATCHES agree in a pair that matters, so two such sets meet under
-    one of the 64 - MATCHES + 1 pairs of each that come first in a common order, here the rarest
-    (prefix filter). A pair that one set alone has links nothing: it takes up room in the prefix
-    and is not posted, and a set with fewer than MATCHES shared pairs is skipped altogether.
+    Of 64 coordinates at least ``matches`` agree in a pair that matters, so two such sets meet
+    under one of the 64 - matches + 1 pairs of each that come first in a common order, here the
+    rarest (prefix filter). A pair that one set alone has links nothing: it takes up room in the
+    prefix and is not posted, and a set with fewer than ``matches`` shared pairs is skipped
+    altogether. ``weight`` says how common a set's pairs are: the hub of a group is near its middle.
     """
-    prefix = COORDINATES - MATCHES + 1
     keys = F.array(*(F.xxhash64(F.lit(k), _coordinate(F.col("packed"), k)) for k in range(COORDINATES)))
     posted = classes.select("id", F.explode(keys).alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     common = posted.join(shared, "key").groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("n", "key"))).alias("common")  # 64 at most
+        F.sort_array(F.collect_list(F.struct("n", "key"))).alias("common"),  # 64 at most
+        F.sum("n").alias("weight"),
     )
-    rare = F.slice("common", 1, F.greatest(F.lit(0), F.size("common") - (COORDINATES - prefix)))
-    return common.filter(F.size("common") >= MATCHES).select("id", F.explode(rare["key"]).alias("key"))
+    rare = F.slice("common", 1, F.greatest(F.lit(0), F.size("common") - (matches - 1)))
+    return common.filter(F.size("common") >= matches).select("id", rare["key"].alias("keys"), "weight")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,14 +194,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked_sets(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Verified links (a, b) between different sets, enough of them for the exact components.
 
-    ``classes`` has one row (id, packed) for each distinct set; ``sets_of(ids)`` gives (id, set).
+    ``classes`` has one row (id, packed) for each distinct set; ``sets_of(ids)`` gives (id, set,
+    fine).
     """
-    postings = materialize(_postings(classes))
-    ids = postings.select("id").distinct()
-    sets = materialize(sets_of(ids))
-    sketches = materialize(classes.join(ids, "id", "left_semi").select("id", *_sketch(F.col("packed"))))
+    posted = materialize(_postings(classes, least_matches(COORDINATES, percent)))
+    sets = materialize(sets_of(posted.select("id")))
+    sketches = materialize(sets.select("id", "fine").join(posted.select("id", "keys"), "id"))
+    postings = posted.select("id", "weight", F.explode("keys").alias("key"))
     return confirmed_links(
-        postings, sketches, lambda x, y: _agreeing(x, y) >= MATCHES, lambda pairs: _verified(pairs, sets, percent)
+        postings, sketches, lambda x, y: _alike(x, y, percent),
+        lambda pairs: _verified(pairs, sets.select("id", "set"), percent),
     )
 
 
@@ -188,14 +213,14 @@ def near_duplicates(
     """One row per row of ``df``: ``key``, ``n_shingles``, ``component_id`` and ``kept``.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of
-    ``n_words``-word shingles (``percent`` from 80 on). ``component_id`` is the smallest key
+    ``n_words``-word shingles (but see ``least_matches``). ``component_id`` is the smallest key
     reachable over links, ``kept`` whether that is the row's own. Null and empty texts have no
     shingles and are alone; equal sets are one class; rows repeated under one key share its
     component; null keys take part, and get the component of their group (null if it has no
     other key). Other columns of ``df`` are not read. An empty table gives no rows.
     """
-    if percent < 80:
-        raise ValueError("the match threshold is set for similarities of 0.8 or more")
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100")
     docs = materialize(with_signatures(df.withColumn("_id", F.col(key).cast("long")), text, n_words, [key, "_id"]))
     groups = docs.filter("_n > 0").groupBy("_d1", "_d2").agg(
         F.min("_id").alias("id"), F.first("_packed").alias("packed")
@@ -222,7 +247,7 @@ def near_duplicates(
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
-    """(id, set) with the whole shingle set of one document of each wanted class."""
+    """(id, set, fine) with the whole shingle set of one document of each wanted class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,15 +264,15 @@ def _sets(rows: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
                 d = digest.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("number"), pa.array(d[:, 0]), pa.array(d[:, 1]), part.column("_d1"), part.column("_d2"),
-                     lists.cast(pa.list_(pa.int64()))],
-                    ["id", "x1", "x2", "_d1", "_d2", "set"],
+                     lists.cast(pa.list_(pa.int64())), pa.array(list(_fine(shingles, at)), pa.list_(pa.int64()))],
+                    ["id", "x1", "x2", "_d1", "_d2", "set", "fine"],
                 )
 
     # One document carries the set of its class; the key of a class may be null.
     wanted = wanted.withColumnRenamed("id", "_id")
     texts = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_id"])).select("_text", "number", "_d1", "_d2")
-    made = texts.mapInArrow(run, "id long, x1 long, x2 long, _d1 long, _d2 long, set array<long>")
-    return made.filter("x1 = _d1 AND x2 = _d2").dropDuplicates(["id"]).select("id", "set")
+    made = texts.mapInArrow(run, "id long, x1 long, x2 long, _d1 long, _d2 long, set array<long>, fine array<long>")
+    return made.filter("x1 = _d1 AND x2 = _d2").dropDuplicates(["id"]).select("id", "set", "fine")
 
 
 def drop_near_duplicates(
