@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from seriesengine.plans.queries import QUERIES
 from tools.check import rows_of
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+ORACLE = {k: v for k, v in entry.oracle_sql().items() if k in QUERIES}
 WITHOUT_SQL = {"ols_forecast", "ols_test_error", "sequence_forecast", "market_model_error"}
 
 
@@ -22,7 +23,8 @@ def db():
 
 
 def test_registration():
-    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL and set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_flagship(spark):
