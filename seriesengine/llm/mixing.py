@@ -28,7 +28,7 @@ def tempered(cells: DataFrame, by: str, power: float) -> DataFrame:
     return weight.select(by, (F.col("w") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
     """``cells`` (one row for each combination of categories, with ``tokens``) plus ``weight``, the
     share of tokens that the combination should have.
 
