@@ -36,12 +36,11 @@ OLS_FEATURES = (
 )
 FROZEN = ("moving_avg_5", "moving_avg_10", "daily_return", "trend", "seasonal")
 LAG_FEATURES = ("close", "day_of_week", "month", "lag_close")
-MAX_DAYS = 365
 
 
 def _require_days(days: int) -> None:
-    if not 1 <= days <= MAX_DAYS:
-        raise ValueError(f"days must be between 1 and {MAX_DAYS}")
+    if days < 1:
+        raise ValueError("days must be 1 or more")
 
 
 def future_frame(

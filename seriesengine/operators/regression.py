@@ -26,7 +26,11 @@ RELATIVE_CUTOFF = 1e-10
 def gram_matrix(
     df: DataFrame, features: Sequence[str], target: str, *, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """n, sums and cross products per series (upper triangle, row by row)."""
+    """n, sums and cross products per series (upper triangle, row by row).
+
+    All sums and ``n`` are over the same rows: those with the target and every feature present.
+    A series without such a row has no result.
+    """
     x = [F.col(c).cast("double") for c in features]
     y = F.col(target).cast("double")
     m = range(len(x))
@@ -37,7 +41,8 @@ def gram_matrix(
         + [F.sum(x[i] * y).alias(f"_m{i}") for i in m]
     )
     return (
-        df.groupBy(*keys)
+        df.dropna(subset=[*features, target])
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sum_y"), *sums)
         .select(
             *keys, "n", "sum_y",

@@ -24,7 +24,7 @@ METRICS = """metrics AS (
   FROM orders GROUP BY 1, 2)"""
 TICKS = "ticks AS (SELECT event_type AS series, ts AS time, value AS close FROM events)"
 ARTICLES = """articles AS (
-  SELECT doc_id, substring(text, 1, 40) AS title, text AS description, source AS url, lang,
+  SELECT doc_id, text AS title, text AS description, source AS url, lang,
          TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published_at
   FROM documents)"""
 NUDGE = 0.00000123

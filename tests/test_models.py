@@ -132,3 +132,10 @@ def test_deltas(spark):
     got = collected(se.forecast_deltas(df), "date")
     assert got["daily_change"].tolist()[1:] == [2.0, -3.0]
     np.testing.assert_allclose(got["daily_pct_change"].tolist()[1:], [20.0, -25.0])
+
+
+def test_ols_ignores_incomplete_rows(spark):
+    rows = [("a", float(i), 2.0 * i + 1) for i in range(10)] + [("a", None, 500.0), ("a", 3.0, None), ("b", None, 1.0)]
+    fitted = se.fit_ols(spark.createDataFrame(rows, "series string, x double, y double"), ["x"], "y").collect()
+    assert [r["series"] for r in fitted] == ["a"]
+    assert list(fitted[0]["coef"]) == pytest.approx([2.0]) and fitted[0]["intercept"] == pytest.approx(1.0)
