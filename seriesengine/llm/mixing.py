@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from seriesengine.llm.common import words
 from seriesengine.session import materialize
 
+#: Combinations of categories up to which raking keeps them in one partition.
+SMALL_CELLS = 1_000_000
 #: Topics by the statistics at hand, where a table has no topic column: the shape of a text.
 TOPICS = ("fragment", "note", "article", "book")
 
@@ -38,8 +40,11 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 30, t
     the plan stays short. Categories without a target keep their share. Stops when no sum
     is off by more than ``tolerance``, relative to its target, or after ``rounds``.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 1
-    now = materialize(cells.withColumn("weight", F.col("tokens") / F.lit(float(total))))
+    total, n = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    # A small table needs no shuffles: in one partition every step of a round is local.
+    near = (lambda df: df.coalesce(1)) if n <= SMALL_CELLS else (lambda df: df)
+    targets = {by: near(materialize(t)) for by, t in targets.items()}
+    now = near(materialize(cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))))
     for _ in range(rounds):
         off = []
         for by, target in targets.items():
@@ -47,7 +52,7 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 30, t
             factor = sums.join(target, by, "left").withColumn("_f", F.coalesce(F.col("target") / F.col("_sum"), F.lit(1.0)))
             off.append(factor.agg(F.max(F.abs(F.col("_f") - 1)).alias("d")))
             now = now.join(factor.select(by, "_f"), by, "left").withColumn("weight", F.col("weight") * F.col("_f")).drop("_f")
-        now = materialize(now)
+        now = near(materialize(now))
         worst = off[0]
         for d in off[1:]:
             worst = worst.union(d)
