@@ -46,17 +46,18 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 30, t
     targets = {by: near(materialize(t)) for by, t in targets.items()}
     now = near(materialize(cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))))
     for _ in range(rounds):
-        off = []
+        now = now.withColumn("_off", F.lit(0.0))  # the largest change of a factor in this round
         for by, target in targets.items():
             sums = now.groupBy(by).agg(F.sum("weight").alias("_sum"))
-            factor = sums.join(target, by, "left").withColumn("_f", F.coalesce(F.col("target") / F.col("_sum"), F.lit(1.0)))
-            off.append(factor.agg(F.max(F.abs(F.col("_f") - 1)).alias("d")))
-            now = now.join(factor.select(by, "_f"), by, "left").withColumn("weight", F.col("weight") * F.col("_f")).drop("_f")
+            factor = F.coalesce(F.try_divide("target", "_sum"), F.lit(1.0))
+            factors = sums.join(target, by, "left").select(by, factor.alias("_f"))
+            now = now.join(factors, by, "left").withColumns(
+                {"weight": F.col("weight") * F.col("_f"), "_off": F.greatest("_off", F.abs(F.col("_f") - 1))}
+            ).drop("_f")
         now = near(materialize(now))
-        worst = off[0]
-        for d in off[1:]:
-            worst = worst.union(d)
-        if (worst.agg(F.max("d")).first()[0] or 0.0) <= tolerance:
+        worst = now.agg(F.max("_off")).first()[0]
+        now = now.drop("_off")
+        if (worst or 0.0) <= tolerance:
             break
     return now
 
