@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesengine.llm.common import words
 from seriesengine.session import materialize
 
-#: Combinations of categories up to which raking keeps them in one partition.
+#: Combinations of categories up to which one task rakes them.
 SMALL_CELLS = 1_000_000
+#: Raking ends unconverged if its error fell by less than a hundredth over so many rounds: then the
+#: targets cannot be met together.
+PATIENCE = 20
 #: Topics by the statistics at hand, where a table has no topic column: the shape of a text.
 TOPICS = ("fragment", "note", "article", "book")
 
@@ -30,22 +35,63 @@ def tempered(cells: DataFrame, by: str, power: float) -> DataFrame:
     return weight.select(by, (F.col("w") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
+def _stuck(errors: list[float]) -> bool:
+    return len(errors) > PATIENCE and errors[-1] > 0.99 * errors[-1 - PATIENCE]
+
+
+def _rake_here(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float) -> DataFrame:
+    """``rake`` in one task."""
+    dims = list(targets)
+    wide = cells
+    for i, (by, target) in enumerate(targets.items()):
+        wide = wide.join(F.broadcast(target.select(by, F.col("target").alias(f"_t{i}"))), by, "left")
+    names = wide.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)) if (batches := [x for x in batches if x.num_rows]) else None
+        if table is None:
+            return
+        weight = np.array(table.column("weight").to_numpy(), np.float64)
+        groups = []
+        for i, by in enumerate(dims):
+            code = table.column(by).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            goal = np.full(int(code.max()) + 1, np.nan)
+            goal[code] = table.column(f"_t{i}").to_pandas().to_numpy(np.float64)
+            groups.append((code, goal))
+        errors = []
+        while not errors or (errors[-1] > tolerance and not _stuck(errors)):
+            worst = 0.0
+            for code, goal in groups:
+                sums = np.bincount(code, weight, len(goal))
+                factor = np.where(np.isnan(goal) | (sums == 0), 1.0, goal / np.where(sums == 0, 1.0, sums))
+                weight *= factor[code]
+                worst = max(worst, float(np.abs(factor - 1).max()))
+            errors.append(worst)
+        yield from table.set_column(names.index("weight"), "weight", pa.array(weight)).select(kept).to_batches()
+
+    kept = cells.columns
+    return materialize(wide.coalesce(1).mapInArrow(run, cells.schema))
+
+
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = 1e-6) -> DataFrame:
     """``cells`` (one row for each combination of categories, with ``tokens``) plus ``weight``, the
     share of tokens that the combination should have.
 
     Iterative proportional fitting: for each dimension in turn, weights are scaled so that
     their sums over its categories meet ``targets`` (category, target; shares that sum to 1).
-    Cells stay in Spark; each round is a handful of small aggregations, written so that
-    the plan stays short. Categories without a target keep their share. Stops when no sum
-    is off by more than ``tolerance``, relative to its target, or after ``rounds``.
+    Up to SMALL_CELLS cells are raked in one task; more stay in Spark, where each round is a
+    handful of small aggregations, written so that the plan stays short. Categories without a
+    target keep their share. Ends when no sum is off by more than ``tolerance``, relative to its
+    target, or, where targets contradict one another, when the error no longer falls
+    (see ``raking_errors``).
     """
     total, n = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
-    # A small table needs no shuffles: in one partition every step of a round is local.
-    near = (lambda df: df.coalesce(1)) if n <= SMALL_CELLS else (lambda df: df)
-    targets = {by: near(materialize(t)) for by, t in targets.items()}
-    now = near(materialize(cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))))
-    for _ in range(rounds):
+    targets = {by: materialize(t) for by, t in targets.items()}
+    now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
+    if n <= SMALL_CELLS:
+        return _rake_here(now, targets, tolerance)
+    now, errors = materialize(now), []
+    while not errors or (errors[-1] > tolerance and not _stuck(errors)):
         now = now.withColumn("_off", F.lit(0.0))  # the largest change of a factor in this round
         for by, target in targets.items():
             sums = now.groupBy(by).agg(F.sum("weight").alias("_sum"))
@@ -54,14 +100,23 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 30, t
             now = now.join(factors, by, "left").withColumns(
                 {"weight": F.col("weight") * F.col("_f"), "_off": F.greatest("_off", F.abs(F.col("_f") - 1))}
             ).drop("_f")
-        now = near(materialize(now))
-        worst = now.agg(F.max("_off")).first()[0]
+        now = materialize(now)
+        errors.append(now.agg(F.max("_off")).first()[0] or 0.0)
         now = now.drop("_off")
-        if (worst or 0.0) <= tolerance:
-            break
     return now
 
 
+def raking_errors(raked: DataFrame, targets: Mapping[str, DataFrame]) -> dict[str, float]:
+    """For each dimension, how far the sum of a category's weights is off its target at most,
+    relative to the target."""
+    out = {}
+    for by, target in targets.items():
+        sums = raked.groupBy(by).agg(F.sum("weight").alias("_sum"))
+        off = F.abs(F.coalesce("_sum", F.lit(0.0)) / F.col("target") - 1)
+        out[by] = target.filter("target > 0").join(sums, by, "left").agg(F.max(off)).first()[0] or 0.0
+    return out
+
+
 def uniform(key: Column) -> Column:
     """A number in [0, 1) that the key alone decides."""
     return F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
@@ -78,7 +133,8 @@ DIMENSIONS = ("_source", "_lang", "_topic")
 
 
 def _probabilities(light: DataFrame, power: float, budget: float, targets: Mapping[str, DataFrame] | None) -> DataFrame:
-    """For each combination of categories: ``tokens``, ``weight`` and the probability ``p``.
+    """For each combination of categories: ``tokens``, ``weight``, the probability ``p``, and the
+    remaining error of each dimension.
 
     p is in proportion to weight / tokens. The factor is the largest that keeps all p at most 1,
     or one that gives ``budget`` of the tokens, whichever asks for less; so shares are met
@@ -87,10 +143,12 @@ def _probabilities(light: DataFrame, power: float, budget: float, targets: Mappi
     cells = materialize(light.groupBy(*DIMENSIONS).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
     goals = targets or {d: tempered(cells, d, power) for d in DIMENSIONS}
     raked = rake(cells, goals)
+    errors = raking_errors(raked, goals)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     top, total = raked.agg(F.max(ratio), F.sum("tokens")).first()
     factor = min(1.0 / top, budget * total) if top else 0.0
-    return materialize(raked.withColumn("p", F.least(F.lit(1.0), F.coalesce(ratio * F.lit(factor), F.lit(1.0)))))
+    left = {f"{d}_error": F.lit(float(errors.get(d, 0.0))) for d in DIMENSIONS}
+    return materialize(raked.withColumns({"p": F.least(F.lit(1.0), F.coalesce(ratio * F.lit(factor), F.lit(1.0))), **left}))
 
 
 def mix_documents(
@@ -98,7 +156,9 @@ def mix_documents(
     targets: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """One row per row of ``df``: ``key``, ``source``, ``lang``, ``topic``, ``n_tokens``,
-    ``probability`` and ``sampled``.
+    ``probability`` and ``sampled``, and ``source_error``, ``lang_error`` and ``topic_error``: how far
+    the share of a category is off its target at most, relative to it (the same on every row; 0
+    but for rounding unless the targets contradict one another).
 
     Token weights are raked to marginal targets over source, language and topic (by default
     tokens to the power 0.85 on each), and a document is sampled if a number that its key alone
@@ -110,10 +170,11 @@ def mix_documents(
     slim = df.select(*dict.fromkeys([key, text, *(c for c in ("source", "lang", "topic") if c in df.columns)]))
     light = materialize(_categories(slim, text, F.size(words(F.col(text))).cast("long")).select(F.col(key).alias("_key"), "_tokens", *DIMENSIONS))
     cells = _probabilities(light, power, budget, targets)
-    out = light.join(cells.select(*DIMENSIONS, "p"), list(DIMENSIONS), "left")
+    out = light.join(cells.drop("tokens", "documents", "weight"), list(DIMENSIONS), "left")
     return out.select(
         F.col("_key").alias(key), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
         F.col("_tokens").alias("n_tokens"), F.col("p").alias("probability"), (uniform(F.col("_key")) < F.col("p")).alias("sampled"),
+        *(F.col(f"{d}_error").alias(f"{d[1:]}_error") for d in DIMENSIONS),
     )
 
 
