@@ -41,7 +41,8 @@ def benchmark_overlaps(
 
     Tokens are lower-case runs of letters and digits. Items and documents with fewer than 13
     tokens, null and empty texts are in no row; rows repeated under one key and text count once;
-    a null key is kept as null; an empty table gives no rows. Other columns are not read.
+    a null key is kept as null; an empty table gives no rows. Other columns are not read. An item
+    id may be null or stand on several texts: each is searched, and the best window of all counts.
 
     The text is read once and never moved: seeds of every place meet the benchmark's seeds in a
     broadcast join as long as those are few (counted first), and each hit is verified beside the
@@ -50,10 +51,11 @@ def benchmark_overlaps(
     """
     items = (
         benchmark.filter(F.col(item_text).isNotNull())
-        .select(F.col(item).alias("item"), tokens(F.col(item_text)).alias("item_toks"))
+        .select(F.col(item).alias("item"), F.xxhash64(item_text).alias("item_hash"), tokens(F.col(item_text)).alias("item_toks"))
         .filter(F.size("item_toks") >= WINDOW)
+        .dropDuplicates(["item", "item_hash"])
     )
-    seeds = _seeds(items, "item_toks", ["item", "item_toks"], "item_at")
+    seeds = _seeds(items, "item_toks", ["item", "item_hash", "item_toks"], "item_at")
     small = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     own = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), tokens(F.col(text)).alias("toks"))
     if small:
@@ -63,7 +65,8 @@ def benchmark_overlaps(
             _seeds(own, "toks", ["key", "text_hash"], "doc_at")
             .join(seeds.drop("item_toks"), "seed").drop("seed").distinct()
         )
-        found = met.join(items.dropDuplicates(["item"]), "item").join(
+        of_item = items.toDF("i", "i_hash", "item_toks")
+        found = met.join(of_item, F.col("item").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("i_hash"))).join(
             own.withColumnRenamed("key", "k").dropDuplicates(["k", "text_hash"]),
             F.col("key").eqNullSafe(F.col("k")) & (met["text_hash"] == own["text_hash"]),
         ).select("key", met["text_hash"], "toks", "doc_at", "item", "item_toks", "item_at")
