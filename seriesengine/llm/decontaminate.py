@@ -13,9 +13,17 @@ WINDOW, SUBSTITUTIONS = 13, 2
 BROADCAST_SEEDS = 1_000_000
 
 
+#: Letters of scripts that put no spaces between words; each is a token.
+_ALONE = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
+_BREAK, _RUN = "[^\\p{L}\\p{N}]+", "[\\p{L}\\p{N}]"
+
+
 def tokens(text: Column) -> Column:
-    """64-bit hashes of the lower-case runs of letters and digits; none for null."""
-    runs = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+")
+    """64-bit hashes of the lower-case runs of letters and digits, and of each letter of a script
+    without spaces; none for null."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    single = f"{_BREAK}|(?<={_ALONE})(?={_RUN})|(?<={_RUN})(?={_ALONE})"
+    runs = F.when(low.rlike(_ALONE), F.split(low, single)).otherwise(F.split(low, _BREAK))
     return F.transform(F.array_remove(runs, ""), lambda t: F.xxhash64(t))
 
 
@@ -37,10 +45,10 @@ def benchmark_overlaps(
 ) -> DataFrame:
     """One row (``key``, ``text_hash``, ``item``, ``doc_token``, ``item_token``, ``n_equal``) for
     each document text and benchmark item that share a window of 13 tokens, in line, with at most
-    two substitutions. The places and the count are those of the best such window, the first of equals.
+    two substitutions; an item of fewer tokens must stand in the text as a whole, token for token. The places and the count are those of the best such window, the first of equals.
 
-    Tokens are lower-case runs of letters and digits. Items and documents with fewer than 13
-    tokens, null and empty texts are in no row; rows repeated under one key and text count once;
+    Tokens are lower-case runs of letters and digits, and the single letters of scripts without
+    spaces. Null and empty texts are in no row; rows repeated under one key and text count once;
     a null key is kept as null; an empty table gives no rows. Other columns are not read. An item
     id may be null or stand on several texts: each is searched, and the best window of all counts.
 
@@ -49,12 +57,13 @@ def benchmark_overlaps(
     document's own tokens, so that only verified rows are shuffled. A benchmark too large for
     that is joined by shuffling the seeds, and its hits then meet both texts by their keys.
     """
-    items = (
+    whole = (
         benchmark.filter(F.col(item_text).isNotNull())
         .select(F.col(item).alias("item"), F.xxhash64(item_text).alias("item_hash"), tokens(F.col(item_text)).alias("item_toks"))
-        .filter(F.size("item_toks") >= WINDOW)
+        .filter(F.size("item_toks") > 0)
         .dropDuplicates(["item", "item_hash"])
     )
+    items = whole.filter(F.size("item_toks") >= WINDOW)
     seeds = _seeds(items, "item_toks", ["item", "item_hash", "item_toks"], "item_at")
     small = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     own = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), tokens(F.col(text)).alias("toks"))
@@ -92,7 +101,22 @@ def benchmark_overlaps(
         F.explode_outer(F.when(first <= last, windows)).alias("best"),
     ).filter(F.col("best.n_equal") >= WINDOW - SUBSTITUTIONS)
     place = F.struct("best.n_equal", (F.col("best.a") - F.col("shift")).alias("x"), F.col("best.a").alias("a"))
-    top = best.groupBy("key", "text_hash", "item").agg(F.max(place).alias("top"))
+    best = best.select("key", "text_hash", "item", place.alias("place"))
+    short = whole.filter(F.size("item_toks") < WINDOW).select("item", "item_toks", F.size("item_toks").alias("n")).distinct()
+    lengths = {r.n: r["count"] for r in short.groupBy("n").count().collect()}
+    if lengths:
+        at = F.explode(F.sequence(F.lit(0), F.size("toks") - 1)).alias("doc_at")
+        places = own.filter(F.size("toks") > 0).select("key", "text_hash", "toks", at)
+        places = places.select("*", F.explode(F.array(*(F.lit(n) for n in sorted(lengths)))).alias("n"))
+        runs = places.filter(F.col("doc_at") + F.col("n") <= F.size("toks")).select(
+            "key", "text_hash", "doc_at", F.slice("toks", F.col("doc_at") + 1, F.col("n")).alias("item_toks")
+        )
+        few = F.broadcast(short) if sum(lengths.values()) <= BROADCAST_SEEDS else short
+        hits = runs.join(few, "item_toks").select(
+            "key", "text_hash", "item", F.struct(F.col("n").alias("n_equal"), (-F.col("doc_at")).alias("x"), F.lit(0).alias("a")).alias("place")
+        )
+        best = best.unionByName(hits)
+    top = best.groupBy("key", "text_hash", "item").agg(F.max("place").alias("top"))
     return top.select(
         F.col("key").alias(key), "text_hash", F.col("item").alias(item),
         (-F.col("top.x")).alias("doc_token"), (-F.col("top.a")).alias("item_token"), F.col("top.n_equal").alias("n_equal"),
