@@ -220,6 +220,42 @@ def test_fuzzy_lines(spark, docs, rows, empty):
     assert line_dedup.dropped_lines(empty).count() == 0
 
 
+def _edited(rng, line, edits):
+    s = list(line)
+    for _ in range(edits):
+        i = rng.randrange(len(s))
+        s[i : i + rng.randrange(2)] = rng.choice(["", "e", "e", "z"])
+    return "".join(s)
+
+
+def test_fuzzy_lines_recall():
+    """Every pair within a tenth of edits should share a gram, and pass the bits."""
+    import numpy as np
+
+    rng = random.Random(12)
+    missed = defaultdict(int)
+    lengths = {"short": (10, 79), "medium": (80, 159), "long": (160, 900)}
+    for kind, (low, high) in lengths.items():
+        a = [words(rng, high // 4)[: rng.randint(low, high)] for _ in range(1000)]
+        b = [_edited(rng, x, rng.choice([1, max(1, len(x) // 20), len(x) // 10])) for x in a]
+        (ka, ba), (kb, bb) = line_dedup.line_grams(a), line_dedup.line_grams(b)
+        apart = np.bitwise_count((ba ^ bb).view(np.uint64)).sum(axis=1)
+        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            missed[kind] += not set(ka[i]) & set(kb[i])
+            assert apart[i] <= 4 * (max(len(x), len(y)) // 10)
+    assert not missed["short"] and missed["medium"] <= 3 and missed["long"] <= 3
+
+
+def test_fuzzy_lines_with_one_letter_more(spark):
+    rng = random.Random(13)
+    lines = [words(rng, n) for n in (3, 5, 8, 12, 20, 27, 40, 60) for _ in range(3)]
+    lines = [x for x in lines if len(x) >= 10]
+    more = [f"{x[: len(x) // 2]}q{x[len(x) // 2 :]}" for x in lines]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(more))], "doc_id long, text string")
+    got = {r.doc_id: r.removed_lines for r in line_dedup.dropped_lines(df, min_words=1, simhash_bits=None).collect()}
+    assert got == {1: [], 2: list(range(len(lines)))}
+
+
 def test_quality_rules(docs, rows, labels, empty):
     out = quality_rules.judge_documents(docs, labels).collect()
     got = sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out)
