@@ -73,7 +73,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dropped_lines(table(spark, sf_dir, "documents"), simhash_bits=None)
+    return line_dedup.dropped_lines(table(spark, sf_dir, "documents"), min_words=1, simhash_bits=None)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
