@@ -207,35 +207,44 @@ def linked_sets(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], p
     )
 
 
-def near_duplicates(
-    df: DataFrame, *, key: str = "doc_id", text: str = "text", n_words: int = 5, percent: int = 80
-) -> DataFrame:
-    """One row per row of ``df``: ``key``, ``n_shingles``, ``component_id`` and ``kept``.
-
-    Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of
-    ``n_words``-word shingles (but see ``least_matches``). ``component_id`` is the smallest key
-    reachable over links, ``kept`` whether that is the row's own. Null and empty texts have no
-    shingles and are alone; equal sets are one class; rows repeated under one key share its
-    component; null keys take part, and get the component of their group (null if it has no
-    other key). Other columns of ``df`` are not read. An empty table gives no rows.
-    """
+def _grouped(df: DataFrame, key: str, text: str, n_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their sets' digests, and for each different set (``_d1``, ``_d2``) its group
+    ``comp``, smallest key ``id`` and ``first`` place (keys before null, then text hash)."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
-    docs = materialize(with_signatures(df.withColumn("_id", F.col(key).cast("long")), text, n_words, [key, "_id"]))
+    placed = df.withColumns({"_id": F.col(key).cast("long"), "_t": F.xxhash64(text)})
+    docs = materialize(with_signatures(placed, text, n_words, [key, "_id", "_t"]))
+    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_t")
     groups = docs.filter("_n > 0").groupBy("_d1", "_d2").agg(
-        F.min("_id").alias("id"), F.first("_packed").alias("packed")
+        F.min("_id").alias("id"), F.min(place).alias("first"), F.first("_packed").alias("packed")
     )
     # Sets are compared under numbers of their own: a key may stand on several rows.
     classes = materialize(groups.withColumn("number", F.col("_d1").bitwiseXOR(F.shiftleft("_d2", 1))))
     of_class = classes.select(F.col("number").alias("id"), "packed")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = classes.join(ids.toDF("number"), "number", "left_semi").select("id", "number", "_d1", "_d2")
-        return _sets(df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")), wanted, n_words)
+        wanted = classes.join(ids.toDF("number"), "number", "left_semi").select("first._id", "first._t", "number", "_d1", "_d2")
+        rows = df.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
+        return _sets(rows, wanted, n_words)
 
     links = linked_sets(of_class, sets_of, percent)
     comp = components(links).toDF("number", "comp")
-    named = classes.join(comp, "number", "left").withColumn("comp", F.coalesce("comp", "number"))
+    return docs, classes.join(comp, "number", "left").withColumn("comp", F.coalesce("comp", "number"))
+
+
+def near_duplicates(
+    df: DataFrame, *, key: str = "doc_id", text: str = "text", n_words: int = 5, percent: int = 80
+) -> DataFrame:
+    """One row per row of ``df``: ``key``, ``n_shingles``, ``component_id`` and ``kept``.
+
+    Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of
+    ``n_words``-word shingles (but see ``least_matches``). ``component_id`` is the smallest key
+    reachable over links, ``kept`` whether that is the row's own. Null and empty texts have no
+    shingles and are alone; equal sets are one class; rows repeated under one key share its
+    component; null keys take part, and get the component of their group (null if it has no
+    other key). Other columns of ``df`` are not read. An empty table gives no rows.
+    """
+    docs, named = _grouped(df, key, text, n_words, percent)
     smallest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     by_class = named.join(smallest, "comp").select("_d1", "_d2", "component_id")
     out = docs.join(by_class, ["_d1", "_d2"], "left")
@@ -268,9 +277,9 @@ def _sets(rows: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
                     ["id", "x1", "x2", "_d1", "_d2", "set", "fine"],
                 )
 
-    # One document carries the set of its class; the key of a class may be null.
-    wanted = wanted.withColumnRenamed("id", "_id")
-    texts = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_id"])).select("_text", "number", "_d1", "_d2")
+    # One document carries the set of its class; its key may be null or stand on several texts.
+    on = rows["_id"].eqNullSafe(wanted["_id"]) & (rows["_t"] == wanted["_t"])
+    texts = rows.join(wanted, on).select("_text", "number", "_d1", "_d2")
     made = texts.mapInArrow(run, "id long, x1 long, x2 long, _d1 long, _d2 long, set array<long>, fine array<long>")
     return made.filter("x1 = _d1 AND x2 = _d2").dropDuplicates(["id"]).select("id", "set", "fine")
 
@@ -280,13 +289,16 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of ``docs``, with all columns, of which one document of each group stays.
 
-    It is the one with the smallest key; of rows repeated under that key, one. Documents
-    without shingles all stay.
+    It is the one with the smallest key, of several texts under that key the one of the smallest
+    hash; of equal rows, one. Null keys come last. Documents without shingles all stay.
     """
-    found = near_duplicates(docs, key=key, text=text, n_words=n_words, percent=percent)
-    keepers = found.filter("kept").filter("n_shingles > 0").select(F.col(key).alias("_key")).distinct()
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    _, named = _grouped(docs, key, text, n_words, percent)
+    keepers = named.groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_keep"), F.col("first._t").alias("_hash"))
+    whole = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text")
+    )
     has_words = F.coalesce(F.col("_text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     empty = whole.filter(~has_words).select("_row.*")
-    kept = whole.filter(has_words).join(keepers, whole["_key"].eqNullSafe(keepers["_key"]), "left_semi")
+    on = whole["_key"].eqNullSafe(keepers["_keep"]) & (whole["_t"] == keepers["_hash"])
+    kept = whole.filter(has_words).join(keepers, on, "left_semi")
     return kept.dropDuplicates(["_key", "_text"]).select("_row.*").unionByName(empty)
