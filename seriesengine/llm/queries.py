@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesengine.llm import (
@@ -10,14 +10,17 @@ from seriesengine.llm import (
     line_dedup,
     minhash,
     mixing,
+    periodic_runs,
+    prefix_trie,
     quality_model,
     quality_rules,
     sharding,
     suffix_dedup,
     tokens,
+    toxicity,
     warc,
 )
-from seriesengine.llm.common import table
+from seriesengine.llm.common import let, table, words
 
 SHARDS = 16
 
@@ -83,9 +86,61 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def with_planted_period(text: Column, key: Column) -> Column:
+    """The text with a periodic tail of words where crc32 of the key ends in 0; others as they are."""
+    hashed = F.crc32(key.cast("string"))
+    g = F.floor(hashed / 10)
+
+    def tail(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, place(i))), " ")).otherwise(text)
+
+    return F.when(hashed % 10 == 0, let(words(text), tail)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", with_planted_period(F.col("text"), F.col("doc_id")).alias("text"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    found = periodic_runs.periodic_runs(planted).withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.col3")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.col2")).alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_shared_beginnings(conversations: DataFrame) -> DataFrame:
+    """(conv, turns) in which conversations begin with up to five turns of the first of their hundred."""
+    shared = F.crc32(F.col("conv").cast("string")) % 6
+    first = conversations.filter(F.col("conv") % 100 == 0).select(
+        F.col("conv").alias("_base"), F.slice("turns", 1, 5).alias("_begin")
+    )
+    both = conversations.join(first, F.col("conv") - F.col("conv") % 100 == F.col("_base"), "left")
+    own = F.slice("turns", (shared + 1).cast("int"), F.size("turns"))
+    begin = F.slice(F.coalesce("_begin", F.slice("turns", 1, 0)), F.lit(1), shared.cast("int"))
+    return both.select("conv", F.concat(begin, own).alias("turns"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = prefix_trie.conversations_in_order(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(with_shared_beginnings(ordered))
+
+
 _ALL = (
     op1_jump_shards, op2_suffix_dedup, op3_token_counts, op4_mix_sources, op5_warc, op6_minhash_dedup,
     op7_decontaminate, op8_quality_classifier, op9_fuzzy_lines, op10_quality_rules,
+    op11_toxicity, op12_periodic_runs, op13_prefix_trie,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
