@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
-import tempfile
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +28,17 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only for a local master: on a cluster the
-    other executors could not read it.
+    Where it is unset, and the master is local, a folder in the warehouse serves until the
+    process ends: on a cluster other executors could not read a folder of this machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="seriesengine-")
+    made = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/seriesengine-{uuid.uuid4().hex}"
     spark.conf.set("spark.checkpoint.dir", made)
+    atexit.register(shutil.rmtree, made.removeprefix("file:"), ignore_errors=True)
     return made
 
 
@@ -45,9 +47,19 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Used where several passes follow (fit, evaluate, predict): later passes
     prune columns, know the real size, and a lost executor costs a re-read
-    instead of the whole lineage.
+    instead of the whole lineage. ``discard`` deletes it again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing will read them any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
