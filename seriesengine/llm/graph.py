@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesengine.session import materialize
+from seriesengine.session import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al., 2014): each step is an
     aggregation by vertex and a join back to the edges, so a vertex with very many neighbours
     never has them gathered. Each round is written to the shared folder, which keeps the plan
-    short and outlives executors. Loops, repeated edges and null ends are ignored; no edges give
+    short and outlives executors, and the one before it is deleted. Loops, repeated edges and null ends are ignored; no edges give
     no rows.
     """
     pairs = edges.selectExpr("cast(a as long) as a", "cast(b as long) as b").filter("a <> b")
@@ -33,9 +33,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = materialize(
+        last, links = links, materialize(
             near.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         )
+        discard(last)
         now = _state(links)
         if now == seen:
             break

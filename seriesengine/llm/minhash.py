@@ -1,4 +1,14 @@
-"""Near-duplicate documents by MinHash: an inverted join on signature coordinates."""
+"""Near-duplicate documents by MinHash: an inverted join on signature coordinates.
+
+Sets are posted under coordinate-value pairs (prefix and skip filters), and the collisions of two
+signatures are counted. A group of near copies may be of any size, and its pairs lie around the
+threshold, so they are not all compared. Each key has a reference, a set near the middle, and each
+of its sets is compared with that. Where this leaves a key with several components, only
+differences count: let d(x) be the elements in which x differs from the reference. If d(x) and d(y)
+have none in common, x and y differ by |d(x)| + |d(y)|, and are linked only if both are
+linked to the reference. So a link between components shows in a shared element of the (short)
+differences, in so many that a prefix of the rarest tells.
+"""
 
 from __future__ import annotations
 
@@ -11,19 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesengine.llm.common import flat_bytes, mix64, slices
-from seriesengine.llm.graph import components, confirmed_links
-from seriesengine.session import materialize
-
-#: Coordinates of a signature under which sets are posted, and of the finer sketch (a byte each,
-#: seven to a long) that decides which pairs are confirmed on whole sets.
-COORDINATES, FINE = 64, 252
-#: Longs of the fine sketch that are compared before the others.
-AHEAD = 9
+from seriesengine.llm.graph import components
+from seriesengine.session import discard, materialize
+
+#: Coordinates of a signature.
+COORDINATES = 64
 #: Chance that a pair right at the threshold has fewer agreeing coordinates than are asked for.
 MISS = 1e-7
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 / golden ratio, as in SplitMix64
 _BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
-_SEEDS = mix64(np.arange(1000, 1000 + FINE, dtype=np.uint64) * _GOLDEN)
+_SEEDS = mix64(np.arange(1000, 1000 + COORDINATES, dtype=np.uint64) * _GOLDEN)
 
 
 def least_matches(coordinates: int, percent: int) -> int:
@@ -90,7 +97,7 @@ def _signatures(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
     full = np.flatnonzero(at[1:] > at[:-1])
     begin = at[:-1][full]
     sig = np.empty((len(full), COORDINATES), np.uint32)
-    for k, seed in enumerate(_SEEDS[:COORDINATES]):
+    for k, seed in enumerate(_SEEDS):
         sig[:, k] = (np.minimum.reduceat(mix64(shingles ^ seed), begin) >> np.uint64(32)).astype(np.uint32)
     digest = np.empty((len(full), 2), np.uint64)
     for k in range(2):
@@ -136,30 +143,10 @@ def _coordinate(packed: Column, k: int) -> Column:
     return F.substring(packed, 4 * k + 1, 4)
 
 
-def _fine(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """FINE coordinates of one byte for each row, as longs; rows without shingles have zeros."""
-    out = np.zeros((len(at) - 1, FINE // 7, 8), np.uint8)  # little-endian: the top byte stays 0
-    full = np.flatnonzero(at[1:] > at[:-1])
-    for k, seed in enumerate(_SEEDS):
-        if len(full):
-            least = np.minimum.reduceat(mix64(shingles ^ seed), at[:-1][full])
-            out[full, k // 7, k % 7] = (least & np.uint64(255)).astype(np.uint8)
-    return out.view(np.int64)[:, :, 0]
-
-
-def _different(a: Column, b: Column) -> Column:
-    """How many of the lower seven bytes of two longs differ."""
-    x, low = a.bitwiseXOR(b), F.lit(0x7F7F7F7F7F7F7F)
-    # Adding 7F sets a byte's top bit if any lower bit is set, and never carries over.
-    return F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(F.lit(0x80808080808080)))
-
-
-def _alike(a: str, b: str, percent: int) -> Column:
-    """Whether enough bytes of two fine sketches agree; bytes agree wherever coordinates do."""
-    ahead = sum((_different(F.get(f"{a}.fine", F.lit(j)), F.get(f"{b}.fine", F.lit(j))) for j in range(AHEAD)), F.lit(0))
-    each = F.zip_with(f"{a}.fine", f"{b}.fine", _different)
-    whole = F.aggregate(each, F.lit(0), lambda n, d: n + d)
-    return (ahead <= 7 * AHEAD - least_matches(7 * AHEAD, percent)) & (whole <= FINE - least_matches(FINE, percent))
+def _collisions(a: str, b: str) -> Column:
+    """How many coordinates of two signatures agree."""
+    same = lambda n, k: n + (F.substring(a, 4 * k + 1, F.lit(4)) == F.substring(b, 4 * k + 1, F.lit(4))).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), F.lit(0), same)
 
 
 def _postings(classes: DataFrame, matches: int) -> DataFrame:
@@ -191,20 +178,96 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * inter >= percent * union).select("a", "b")
 
 
+def _references(posted: DataFrame) -> DataFrame:
+    """(id, ref): the references of the keys of each set, but itself.
+
+    A key's hub is its set with the most common pairs; the key's reference is the best hub that
+    this hub meets under its own keys, so the many keys of a group come to few references.
+    """
+    postings = posted.select("id", "weight", F.explode("keys").alias("key"))
+    rank = lambda w, i: F.struct(F.col(w).alias("w"), (-F.col(i)).alias("i"))
+    hubs = materialize(
+        postings.groupBy("key").agg(F.max_by("id", rank("weight", "id")).alias("hub"), F.max("weight").alias("top"), F.count(F.lit(1)).alias("ids"))
+        .filter("ids > 1").drop("ids")
+    )
+    met = postings.join(hubs, "key")
+    best = met.groupBy("id").agg(F.max_by("hub", rank("top", "hub")).alias("ref"))
+    of_key = hubs.join(best.withColumnRenamed("id", "hub"), "hub").select("key", "ref")
+    out = materialize(postings.join(of_key, "key").filter("id <> ref").select("id", "ref").distinct())
+    discard(hubs)
+    return out
+
+
+def _differences(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each member with the elements in which it differs from its reference, whether it is linked
+    to that, and how many of the differences, the rarest first, must be looked at.
+
+    For a linked pair of two components, of which at least one, x, is not linked to the
+    reference r, with p = ``percent`` / 100 and c = (1 - p) / (1 + p):
+    |d(x) & d(y)| >= (|d(x)| + |d(y)| - c (|x| + |y|)) / 2. As |d(x)| > c (|x| + |r|), this is at least
+    (|d(y)| + c (|r| - |y|)) / 2 whatever x is: ``short`` is the prefix of y. And as the shared elements
+    are at most |d(y)| many, and |y| <= |x| / p, it is at least |d(x)| - (1 - p) |x| / p: ``long`` is the prefix of x.
+    """
+    own = sets.select("id", F.col("set").alias("own"))
+    theirs = sets.select(F.col("id").alias("ref"), F.col("set").alias("theirs"))
+    both = open_members.join(own, "id").join(theirs, "ref")
+    apart = F.concat(F.array_except("own", "theirs"), F.array_except("theirs", "own"))
+    less, more = 100 - percent, 100 + percent
+    told = both.select("id", "ref", "comp", F.size("own").alias("n"), F.size("theirs").alias("m"), apart.alias("d"))
+    k = F.size("d")
+    shared = F.greatest(F.lit(1), F.ceil((more * k + less * (F.col("m") - F.col("n"))) / (2 * more)))
+    fewest = F.greatest(F.lit(1), F.ceil((percent * k - less * F.col("n")) / percent))
+    linked = more * k <= less * (F.col("n") + F.col("m"))
+    return (
+        told.withColumn("short", k - shared + 1)
+        .withColumn("long", F.when(~linked, F.greatest(F.col("short"), k - fewest + 1)))
+        .filter("d <> array()")
+    )
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """(a, b): members of different components that share an element of their differences' prefixes.
+
+    An element that one member alone has takes up room in the prefix and links nothing.
+    """
+    each = members.select("ref", "id", F.explode("d").alias("t"))
+    often = each.groupBy("ref", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    common = each.join(often, ["ref", "t"]).groupBy("ref", "id").agg(
+        F.sort_array(F.collect_list(F.struct("n", "t"))).alias("common")  # as many as a set has
+    )
+    alone = F.size("d") - F.size("common")
+    prefix = lambda c: F.explode(F.slice("common", 1, F.greatest(F.lit(0), F.col(c) - alone).cast("int"))["t"])
+    posted = members.join(common, ["ref", "id"])
+    left = posted.filter("long IS NOT NULL").select("ref", F.col("id").alias("x"), F.col("comp").alias("cx"), prefix("long").alias("t"))
+    right = posted.select("ref", F.col("id").alias("y"), F.col("comp").alias("cy"), prefix("short").alias("t"))
+    return left.join(right, ["ref", "t"]).filter("cx <> cy").selectExpr("least(x, y) as a", "greatest(x, y) as b").distinct()
+
+
 def linked_sets(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Verified links (a, b) between different sets, enough of them for the exact components.
 
-    ``classes`` has one row (id, packed) for each distinct set; ``sets_of(ids)`` gives (id, set,
-    fine).
+    ``classes`` has one row (id, packed) for each distinct set; ``sets_of(ids)`` gives (id, set).
+    Two linked sets share a key, but for a chance of MISS, and so a reference. Pairs with it are
+    linear in the postings; pairs across components are those that ``_across`` finds.
     """
-    posted = materialize(_postings(classes, least_matches(COORDINATES, percent)))
+    matches = least_matches(COORDINATES, percent)
+    posted = materialize(_postings(classes, matches))
     sets = materialize(sets_of(posted.select("id")))
-    sketches = materialize(sets.select("id", "fine").join(posted.select("id", "keys"), "id"))
-    postings = posted.select("id", "weight", F.explode("keys").alias("key"))
-    return confirmed_links(
-        postings, sketches, lambda x, y: _alike(x, y, percent),
-        lambda pairs: _verified(pairs, sets.select("id", "set"), percent),
+    members = _references(posted)
+    a, b = classes.toDF("id", "x"), classes.toDF("ref", "y")
+    close = members.join(a, "id").join(b, "ref").filter(_collisions("x", "y") >= matches).select(F.col("id").alias("a"), F.col("ref").alias("b"))
+    near = materialize(_verified(close, sets, percent))
+    found = materialize(components(near).toDF("id", "comp"))
+    of_ref = found.toDF("ref", "comp_ref")
+    placed = members.join(found, "id", "left").join(of_ref, "ref", "left").select(
+        "id", "ref", F.coalesce("comp", "id").alias("comp"), F.coalesce("comp_ref", "ref").alias("comp_ref")
     )
+    placed = materialize(placed)
+    mixed = placed.filter("comp <> comp_ref").select("ref").distinct()
+    apart = materialize(_differences(placed.join(mixed, "ref", "left_semi"), sets, percent))
+    far = materialize(_verified(_across(apart), sets, percent))
+    discard(posted, sets, members, found, placed, apart)
+    return near.union(far)
 
 
 def _grouped(df: DataFrame, key: str, text: str, n_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -256,7 +319,7 @@ def near_duplicates(
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
-    """(id, set, fine) with the whole shingle set of one document of each wanted class."""
+    """(id, set) with the whole shingle set of one document of each wanted class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,15 +336,15 @@ def _sets(rows: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
                 d = digest.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("number"), pa.array(d[:, 0]), pa.array(d[:, 1]), part.column("_d1"), part.column("_d2"),
-                     lists.cast(pa.list_(pa.int64())), pa.array(list(_fine(shingles, at)), pa.list_(pa.int64()))],
-                    ["id", "x1", "x2", "_d1", "_d2", "set", "fine"],
+                     lists.cast(pa.list_(pa.int64()))],
+                    ["id", "x1", "x2", "_d1", "_d2", "set"],
                 )
 
     # One document carries the set of its class; its key may be null or stand on several texts.
     on = rows["_id"].eqNullSafe(wanted["_id"]) & (rows["_t"] == wanted["_t"])
     texts = rows.join(wanted, on).select("_text", "number", "_d1", "_d2")
-    made = texts.mapInArrow(run, "id long, x1 long, x2 long, _d1 long, _d2 long, set array<long>, fine array<long>")
-    return made.filter("x1 = _d1 AND x2 = _d2").dropDuplicates(["id"]).select("id", "set", "fine")
+    made = texts.mapInArrow(run, "id long, x1 long, x2 long, _d1 long, _d2 long, set array<long>")
+    return made.filter("x1 = _d1 AND x2 = _d2").dropDuplicates(["id"]).select("id", "set")
 
 
 def drop_near_duplicates(
