@@ -225,22 +225,33 @@ def _differences(open_members: DataFrame, sets: DataFrame, percent: int) -> Data
     )
 
 
-def _across(members: DataFrame) -> DataFrame:
+def _across(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): members of different components that share an element of their differences' prefixes.
 
-    An element that one member alone has takes up room in the prefix and links nothing.
+    An element that one member alone has takes up room in the prefix and links nothing. At the
+    first element that two share, both must have as many left as they need to share in all.
     """
     each = members.select("ref", "id", F.explode("d").alias("t"))
-    often = each.groupBy("ref", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    often = each.groupBy("ref", "t").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     common = each.join(often, ["ref", "t"]).groupBy("ref", "id").agg(
-        F.sort_array(F.collect_list(F.struct("n", "t"))).alias("common")  # as many as a set has
+        F.sort_array(F.collect_list(F.struct("often", "t"))).alias("common")  # as many as a set has
     )
-    alone = F.size("d") - F.size("common")
-    prefix = lambda c: F.explode(F.slice("common", 1, F.greatest(F.lit(0), F.col(c) - alone).cast("int"))["t"])
-    posted = members.join(common, ["ref", "id"])
-    left = posted.filter("long IS NOT NULL").select("ref", F.col("id").alias("x"), F.col("comp").alias("cx"), prefix("long").alias("t"))
-    right = posted.select("ref", F.col("id").alias("y"), F.col("comp").alias("cy"), prefix("short").alias("t"))
-    return left.join(right, ["ref", "t"]).filter("cx <> cy").selectExpr("least(x, y) as a", "greatest(x, y) as b").distinct()
+    k = F.size("d")
+    alone = k - F.size("common")
+    posted = members.join(common, ["ref", "id"]).withColumns({"k": k, "left": k - alone})
+
+    def side(length: str, mark: str) -> DataFrame:
+        prefix = F.slice("common", 1, F.greatest(F.lit(0), F.col(length) - alone).cast("int"))["t"]
+        named = [F.col(c).alias(f"{c}{mark}") for c in ("id", "comp", "n", "k", "left")]
+        return posted.filter(F.col(length).isNotNull()).select("ref", *named, F.posexplode(prefix).alias(f"at{mark}", "t"))
+
+    less, more = 100 - percent, 100 + percent
+    needed = more * (F.col("kx") + F.col("ky")) - less * (F.col("nx") + F.col("ny"))  # 2 * more times what is shared
+    left = F.least(F.col("leftx") - F.col("atx"), F.col("lefty") - F.col("aty"))
+    # All in the join itself, so that no row is made of a pair that cannot be.
+    x, y = side("long", "x"), side("short", "y").withColumnsRenamed({"ref": "refy", "t": "ty"})
+    on = (F.col("ref") == F.col("refy")) & (F.col("t") == F.col("ty")) & (F.col("compx") != F.col("compy")) & (2 * more * left >= needed)
+    return x.join(y, on).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
 
 
 def linked_sets(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -265,7 +276,7 @@ def linked_sets(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], p
     placed = materialize(placed)
     mixed = placed.filter("comp <> comp_ref").select("ref").distinct()
     apart = materialize(_differences(placed.join(mixed, "ref", "left_semi"), sets, percent))
-    far = materialize(_verified(_across(apart), sets, percent))
+    far = materialize(_verified(_across(apart, percent), sets, percent))
     discard(posted, sets, members, found, placed, apart)
     return near.union(far)
 

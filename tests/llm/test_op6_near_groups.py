@@ -41,14 +41,14 @@ def compare(spark, rows, n_words, percent):
 
 @pytest.mark.parametrize(("n_words", "percent"), [(5, 80), (3, 85)])
 def test_a_large_group_around_the_threshold(spark, n_words, percent):
-    texts = group(900, 150, 6)
+    texts = group(450, 150, 6)
     compare(spark, list(enumerate(texts)), n_words, percent)
 
 
 @pytest.mark.parametrize(("n_words", "percent"), [(5, 80), (3, 85), (1, 60)])
 def test_many_groups_of_different_lengths(spark, n_words, percent):
     texts = []
-    for size, length, edits in [(60, 30, 3), (60, 80, 5), (60, 400, 25), (200, 20, 2), (5, 1000, 60), (40, 60, 40), (60, 12, 1)]:
+    for size, length, edits in [(60, 30, 3), (60, 80, 5), (60, 400, 25), (90, 20, 2), (5, 1000, 60), (40, 60, 40), (60, 12, 1)]:
         texts += group(size, length, edits, 0.6)
     texts += texts[:40] + ["common start of a line " + t for t in group(100, 60, 70)]
     rng.shuffle(texts)
@@ -56,7 +56,7 @@ def test_many_groups_of_different_lengths(spark, n_words, percent):
 
 
 def test_very_long_and_awkward_texts(spark):
-    long = [rng.choice(WORDS) for _ in range(700_000)]  # over 3 MB
+    long = [rng.choice(WORDS) for _ in range(900_000)]  # over 4 MB
     rows = [(1, " ".join(long)), (2, " ".join(edited(long, 20_000))), (3, " ".join(edited(long, 200_000)))]
     rows += [(4, None), (5, ""), (6, "a b"), (7, "A  B"), (8, "a b c"), (9, "x " * 500_000), (10, "X " * 400_000)]
     compare(spark, rows, 5, 80)
