@@ -8,6 +8,7 @@ from seriesengine.functions.columns import (
 from seriesengine.operators.aggregates import (
     daily_average, last_known, regression_metrics, sentiment_distribution, weekday_change,
 )
+from seriesengine.operators.autoregression import fit_autoregression
 from seriesengine.operators.chunks import ChunkPlan, over_rows, plan_chunks
 from seriesengine.operators.decompose import seasonal_decompose
 from seriesengine.operators.features import (
@@ -34,10 +35,15 @@ from seriesengine.sources.files import latest_articles, read_series, write_serie
 from seriesengine.sources.ingest import (
     due_for_ingest, keep_first, merge_keep_first, new_rows, record_ingest,
 )
+from seriesengine.sources.tables import (
+    ConcurrentWrite, append_table, day_cell, drop_unused, files_for, hash_cell, merge_table,
+    read_table, replace_table, table_files, table_version,
+)
 from seriesengine.sources.payloads import parse_market_json, parse_news_json, parse_ohlc_json
 from seriesengine.streaming.streams import (
-    read_landed, read_rolling, start_merge, start_rolling, start_table, stream_bars,
-    stream_daily_average, stream_dedup,
+    bar_parts, daily_average_parts, merged_bars, merged_daily_average, read_landed, read_rolling,
+    start_merge, start_parts, start_rolling, start_table, stream_bars, stream_daily_average,
+    stream_dedup,
 )
 from seriesengine.text.sentiment import (
     default_modifiers, lexicon_sentiment, score_articles, tokens,

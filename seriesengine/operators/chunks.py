@@ -188,6 +188,41 @@ def _with_neighbours(
     return out
 
 
+def frame_rows(
+    df: DataFrame, *, keys: Sequence[str] = KEYS, order_by: str = "time", ties: Sequence[str] = (),
+    before: int = 0, chunks: ChunkPlan | str | None = "auto",
+) -> tuple[DataFrame, ChunkPlan | None]:
+    """The rows by (keys, ``_chunk``) in order, for a pass that streams over them, and the plan.
+
+    Each chunk of a cut series begins with copies of the ``before`` rows ahead of it, marked
+    ``_own = false``; ``_pos`` and ``_total`` are those of the series, ``_cut`` tells cut ones.
+    """
+    plan = resolve_chunks(df, keys, order_by, chunks)
+    order = [order_by, *ties]
+    if plan is None:
+        framed = df.withColumns(
+            {"_own": F.lit(True), "_cut": F.lit(False), "_chunk": F.lit(0).cast("long"),
+             "_start": F.lit(0).cast("long"), "_total": F.lit(None).cast("long")}
+        )
+    else:
+        framed = _with_neighbours(df, plan, order, before, 0)
+        framed = framed.withColumn("_cut", F.col("_total").isNotNull())
+    part = [*keys, "_chunk"]
+    framed = _with_positions(framed, part, order).drop("_start")
+    return framed.sortWithinPartitions(*part, *[F.col(c).asc_nulls_last() for c in order]), plan
+
+
+def _with_positions(framed: DataFrame, part: Sequence[str], order: Sequence[str]) -> DataFrame:
+    whole = Window.partitionBy(*part)
+    so_far = whole.orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    own = F.col("_own").cast("int")
+    return framed.withColumn(
+        "_pos", F.coalesce("_start", F.lit(0)) + F.sum(own).over(so_far) - 1
+    ).withColumn("_total", F.coalesce("_total", F.sum(own).over(whole)))
+
+
 def over_rows(
     df: DataFrame,
     build: Callable[[DataFrame, WindowSpec], DataFrame],
@@ -223,10 +258,6 @@ def over_rows(
     whole = Window.partitionBy(*keys, "_chunk")
     window = whole.orderBy(*ascending)
     if positions:
-        own = F.col("_own").cast("int")
-        so_far = window.rowsBetween(Window.unboundedPreceding, 0)
-        framed = framed.withColumn(
-            "_pos", F.coalesce("_start", F.lit(0)) + F.sum(own).over(so_far) - 1
-        ).withColumn("_total", F.coalesce("_total", F.sum(own).over(whole)))
+        framed = _with_positions(framed, [*plan.keys, "_chunk"], order)
     out = build(framed, window).where("_own")
     return out.drop("_own", "_chunk", "_start", "_total", "_pos")

@@ -10,23 +10,31 @@ from pyspark.sql import functions as F
 from seriesengine.functions.columns import join_on
 from seriesengine.operators.chunks import KEYS, over_rows
 from seriesengine.operators.quality import require_columns
+from seriesengine.session import materialize
 
 
-def _centred_mean(col: str, period: int, w):
-    """Mean over one period around the row, NULL near both ends.
+def _with_centred_mean(df: DataFrame, col: str, period: int, w, out: str) -> DataFrame:
+    """Mean over one period around the row, NULL near both ends or beside a missing value.
 
-    For an even period the frame has period + 1 rows and its two ends count half:
-    the mean of the two one-period windows that share all inner rows.
+    A difference of two running sums, so a row costs the same whatever the period; they are sums
+    of distances from the first value, which keeps them small and their differences precise.
+    For an even period the frame has period + 1 rows and its two ends count half: the mean of
+    the two one-period windows that share all inner rows.
     """
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.withColumn("_level", F.first(col, ignorenulls=True).over(so_far)).withColumns(
+        {"_sum": F.sum(F.col(col) - F.col("_level")).over(so_far), "_known": F.count(col).over(so_far)}
+    )
+
+    def full(back: int, ahead: int):
+        def across(c):
+            return F.lead(c, ahead).over(w) - F.coalesce(F.lag(c, back + 1).over(w), F.lit(0))
 
-    def full(first: int, last: int):
-        frame = w.rowsBetween(first, last)
-        return F.when(F.count(col).over(frame) == last - first + 1, F.avg(col).over(frame))
+        return F.when(across("_known") == back + ahead + 1, across("_sum") / (back + ahead + 1))
 
     half = period // 2
-    if period % 2:
-        return full(-half, half)
-    return (full(-half, half - 1) + full(-half + 1, half)) / 2
+    mean = full(half, half) if period % 2 else (full(half, half - 1) + full(half - 1, half)) / 2
+    return summed.withColumn(out, F.col("_level") + mean).drop("_level", "_sum", "_known")
 
 
 def seasonal_decompose(
@@ -37,16 +45,19 @@ def seasonal_decompose(
 
     Periods count rows. A series with fewer than ``min_rows`` rows, or with any
     missing value, gets 0 in all three. Trend and residual are NULL within half a
-    period of both ends.
+    period of both ends. The rows are read and sorted once; their trend is written, as the
+    means of the phases are needed for every row.
     """
     require_columns(df, [*keys, time_col, col])
-    framed = over_rows(
-        df,
-        lambda d, w: d.withColumn("_trend", _centred_mean(col, period, w)).withColumn(
-            "_phase", F.col("_pos") % period
-        ),
-        keys=keys, order_by=time_col, before=period // 2, after=period // 2,
-        positions=True, chunks=chunks,
+    framed = materialize(
+        over_rows(
+            df,
+            lambda d, w: _with_centred_mean(d, col, period, w, "_trend").withColumn(
+                "_phase", F.col("_pos") % period
+            ),
+            keys=keys, order_by=time_col, before=period // 2, after=period // 2,
+            positions=True, chunks=chunks,
+        )
     )
     # One row per series and phase, with the series totals alongside.
     whole = Window.partitionBy(*keys)

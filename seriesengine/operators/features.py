@@ -130,11 +130,18 @@ def lag_features(
 def trailing_range(
     df: DataFrame, days: int = 30, *, keys: Sequence[str] = KEYS, time_col: str = "time"
 ) -> DataFrame:
-    """The rows of the last ``days`` days of every series, both ends included (A5)."""
+    """The rows of the last ``days`` days of every series, both ends included (A5).
+
+    The earliest of these ranges is found from keys and times alone, in a scalar subquery, whose
+    value reaches the scan as a filter: older rows of a long history are not read.
+    """
+    reach = F.make_dt_interval(F.lit(days))
     last = df.groupBy(*keys).agg(F.max(time_col).alias("_last"))
+    earliest = last.agg(F.min(F.col("_last") - reach)).scalar()
+    recent = df.where(F.col(time_col) >= earliest)
     return (
-        join_on(df, last, list(keys))
-        .where(F.col(time_col).between(F.col("_last") - F.make_dt_interval(F.lit(days)), F.col("_last")))
+        join_on(recent, last, list(keys))
+        .where(F.col(time_col).between(F.col("_last") - reach, F.col("_last")))
         .drop("_last")
     )
 

@@ -10,13 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesengine.functions.columns import day_of_week, join_on
 from seriesengine.operators.aggregates import last_known, regression_metrics
+from seriesengine.operators.autoregression import fit_autoregression
 from seriesengine.operators.chunks import KEYS, ROWS_PER_CHUNK, over_rows, resolve_chunks
 from seriesengine.operators.decompose import seasonal_decompose
 from seriesengine.operators.features import (
@@ -25,11 +24,12 @@ from seriesengine.operators.features import (
 from seriesengine.operators.quality import require_columns
 from seriesengine.operators.regression import fit_ols, predict_linear
 from seriesengine.operators.rolling import change
-from seriesengine.operators.scaling import apply_minmax, fit_minmax, invert_minmax, unscaled
-from seriesengine.operators.sequences import hash_split, sequence_frame, series_tail
+from seriesengine.operators.scaling import apply_minmax, fit_minmax, unscaled
+from seriesengine.operators.sequences import hash_split, series_tail
 from seriesengine.schemas import METRICS, PRICES
 from seriesengine.session import materialize
 
+# The model columns by name.
 OLS_FEATURES = (
     "moving_avg_5", "moving_avg_10", "daily_return", "trend", "seasonal",
     "day_of_week", "month", "year",
@@ -97,9 +97,9 @@ def fit_ols_forecast(
         subset=[time_col, "open", "high", "low", "close", *OLS_FEATURES, "residual"]
     )
     bounds = fit_minmax(frame, OLS_FEATURES, keys=keys)
-    split = hash_split(
-        apply_minmax(frame, bounds, OLS_FEATURES, keys=keys),
-        keys=keys, time_col=time_col, chunks=chunks,
+    # Training, evaluation and the ranges of the split all read it.
+    split = materialize(
+        hash_split(apply_minmax(frame, bounds, OLS_FEATURES, keys=keys), keys=keys, time_col=time_col)
     )
     coefficients = fit_ols(split.where("split = 'train'"), OLS_FEATURES, "close", keys=keys)
     tested = predict_linear(split.where("split = 'test'"), coefficients, OLS_FEATURES, keys=keys)
@@ -147,57 +147,15 @@ def forecast_deltas(
 # -- sequence model ---------------------------------------------------------------------------
 
 
-def _flat(x: str = "x"):
-    return array_to_vector(F.flatten(F.col(x)))
-
-
-@dataclass(frozen=True)
-class SequenceModel:
-    model: LinearRegressionModel
-    reg_param: float
-    n_steps: int
-    features: tuple[str, ...]
-
-
-def fit_sequence_model(
-    frame: DataFrame, features: Sequence[str], n_steps: int,
-    reg_params: Sequence[float] = (0.0001, 0.01), choose_on: str | None = "validation",
-) -> SequenceModel:
-    """Ridge regression of y on the flattened window, one model over all series.
-
-    ``frame`` has x, y and split. The regularisation with the least mean squared
-    error on the ``choose_on`` rows wins; without such rows the first is used.
-    Windows are rebuilt in every pass instead of stored: they are n_steps times
-    larger than the rows they come from.
-    """
-    rows = frame.select(_flat().alias("features"), F.col("y").alias("label"), "split")
-    train = rows.where("split = 'train'").select("features", "label")
-
-    def fit(reg: float) -> LinearRegressionModel:
-        return LinearRegression(regParam=reg, elasticNetParam=0.0, solver="normal").fit(train)
-
-    if choose_on is None or len(reg_params) == 1:
-        return SequenceModel(fit(reg_params[0]), reg_params[0], n_steps, tuple(features))
-    held_out = rows.where(F.col("split") == choose_on).select("features", "label")
-    scored = []
-    for reg in reg_params:
-        model = fit(reg)
-        error = F.col("label") - F.col("prediction")
-        mse = model.transform(held_out).agg(F.avg(error * error)).first()[0]
-        scored.append((float("inf") if mse is None else mse, reg, model))
-    _, reg, model = min(scored, key=lambda s: s[:2])
-    return SequenceModel(model, reg, n_steps, tuple(features))
-
-
-def evaluate_sequence_model(
-    fitted: SequenceModel, frame: DataFrame, bounds: DataFrame, target: str,
-    *, keys: Sequence[str] = KEYS, split: str = "test",
+def sequence_metrics(
+    models: DataFrame, bounds: DataFrame, target: str, *, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """A6 on the ``split`` rows per series, in the target's own unit."""
-    rows = frame.where(F.col("split") == split).select(*keys, _flat().alias("features"), "y")
-    scored = fitted.model.transform(rows).select(*keys, "y", "prediction")
-    priced = invert_minmax(scored, bounds, {"y": target, "prediction": target}, keys=keys)
-    return regression_metrics(priced, "y", "prediction", keys=keys)
+    """A6 of the test sequences per series, in the target's own unit."""
+    span = F.col(f"{target}_max") - F.col(f"{target}_min")
+    mse = F.try_divide("sse", "n_test") * span * span
+    return join_on(models, bounds.select(*keys, f"{target}_min", f"{target}_max"), list(keys)).select(
+        *keys, mse.alias("mse"), (F.try_divide("sae", "n_test") * span).alias("mae"), F.sqrt(mse).alias("rmse")
+    )
 
 
 def tail_windows(
@@ -222,21 +180,23 @@ def tail_windows(
 
 
 def recursive_forecast(
-    tails: DataFrame, coef: Sequence[float], intercept: float, days: int,
+    tails: DataFrame, coef: Sequence[float] | Column, intercept: float | Column, days: int,
     *, keys: Sequence[str] = KEYS, time_col: str = "time",
 ) -> DataFrame:
     """M7: predict, push a copy of the last row holding the prediction, repeat.
 
     ``x`` is the window and the target its first feature; the other features of the
     pushed row stay as they were. Series run in parallel; one series is a fold over
-    its days inside the JVM. Returns (keys, date, predicted), still scaled.
+    its days inside the JVM. The weights are the same for all series, or columns of
+    ``tails``. Returns (keys, date, predicted), still scaled.
     """
     _require_days(days)
-    weights = F.array(*[F.lit(float(c)) for c in coef])
+    weights = coef if isinstance(coef, Column) else F.array(*[F.lit(float(c)) for c in coef])
+    base = intercept if isinstance(intercept, Column) else F.lit(float(intercept))
 
     def dot(window):
         products = F.zip_with(window, weights, lambda a, b: a * b)
-        return F.aggregate(products, F.lit(0.0), lambda s, v: s + v) + F.lit(float(intercept))
+        return F.aggregate(products, F.lit(0.0), lambda s, v: s + v) + base
 
     def step(state, _day):
         width = F.size(state["win"][0])
@@ -270,16 +230,17 @@ def recursive_forecast(
 class SequenceForecast:
     predictions: DataFrame  # keys, date, predicted_price
     metrics: DataFrame  # keys, mse, mae, rmse on the test sequences
-    fitted: SequenceModel
+    models: DataFrame  # keys, n_train, n_validation, reg_param, intercept, coef, n_test, sse, sae
 
 
 def fit_sequence_forecast(
-    df: DataFrame, days: int = 30, n_steps: int = 30,
+    df: DataFrame, days: int = 30, n_steps: int = 30, reg_params: Sequence[float] = (0.0001, 0.01),
     *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",
 ) -> SequenceForecast:
-    """M6: F3 → F5 → W7 → W9 (70/15/15) → ridge → A6 → M7 → F6.
+    """M6: F3 → F5 → 70/15/15 of the sequences → ridge → A6 → M7 → F6, each series by itself.
 
-    Raises if no series has n_steps rows. Shorter series get no forecast.
+    Raises if no series has n_steps rows. A series too short to have a training sequence gets
+    no forecast. The rows are read once for model and errors; see ``fit_autoregression``.
     """
     _require_days(days)
     require_columns(df, [*keys, time_col, "close"])
@@ -288,24 +249,29 @@ def fit_sequence_forecast(
         raise ValueError(f"at least {n_steps} rows are needed")
     whole = chunks == "auto" and longest <= ROWS_PER_CHUNK
     chunks = None if whole else chunks
-    lagged = lag_features(df, keys=keys, time_col=time_col, chunks=chunks)
+    lagged = materialize(lag_features(df, keys=keys, time_col=time_col, chunks=chunks))
     bounds = materialize(fit_minmax(lagged, LAG_FEATURES, keys=keys))
-    base = materialize(apply_minmax(lagged, bounds, LAG_FEATURES, keys=keys))
-    frame = sequence_frame(
-        base, LAG_FEATURES, "close", n_steps, (0.7, 0.85), ("train", "validation", "test"),
-        keys=keys, time_col=time_col, chunks=chunks,
+    base = apply_minmax(lagged, bounds, LAG_FEATURES, keys=keys)
+    models = materialize(
+        fit_autoregression(
+            base, LAG_FEATURES, n_steps, (0.7, 0.85), reg_params,
+            keys=keys, time_col=time_col, chunks=chunks,
+        )
+    )
+    # Scaling keeps a window's shape, so only the last rows are scaled for the forecast.
+    last = series_tail(lagged, n_steps, keys=keys, time_col=time_col)
+    tails = tail_windows(
+        apply_minmax(last, bounds, LAG_FEATURES, keys=keys), LAG_FEATURES, n_steps, keys=keys, time_col=time_col
     )
-    fitted = fit_sequence_model(frame, LAG_FEATURES, n_steps)
-    tails = tail_windows(base, LAG_FEATURES, n_steps, keys=keys, time_col=time_col)
+    known = join_on(tails, models.select(*keys, "intercept", "coef"), list(keys), "inner")
     ahead = recursive_forecast(
-        tails, list(fitted.model.coefficients), fitted.model.intercept, days,
-        keys=keys, time_col=time_col,
+        known, F.col("coef"), F.col("intercept"), days, keys=keys, time_col=time_col
     )
     priced = join_on(ahead, bounds.select(*keys, "close_min", "close_max"), list(keys))
     return SequenceForecast(
         priced.select(*keys, "date", unscaled("predicted", "close").alias("predicted_price")),
-        evaluate_sequence_model(fitted, frame, bounds, "close", keys=keys),
-        fitted,
+        sequence_metrics(models, bounds, "close", keys=keys),
+        models,
     )
 
 
@@ -320,18 +286,16 @@ def sequence_forecast(
 
 
 def market_model_metrics(
-    df: DataFrame, n_steps: int = 30,
+    df: DataFrame, n_steps: int = 30, reg_param: float = 0.01,
     *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",
 ) -> DataFrame:
-    """M9: F2 → F4 (80/20) → ridge → MAE and RMSE per series in price units."""
+    """M9: F2 → 80/20 of the sequences → ridge → MSE, MAE and RMSE per series in price units."""
     require_columns(df, [*keys, time_col, *METRICS])
     features = market_features(df, scaled=False, keys=keys, time_col=time_col, chunks=chunks)
     raw = materialize(features)
     bounds = materialize(fit_minmax(raw, MARKET_SCALED, keys=keys))
     base = apply_minmax(raw, bounds, MARKET_SCALED, keys=keys)
-    frame = sequence_frame(
-        base, MARKET_SCALED, "price", n_steps, (0.8,), ("train", "test"),
-        keys=keys, time_col=time_col, chunks=chunks,
+    models = fit_autoregression(
+        base, MARKET_SCALED, n_steps, (0.8,), (reg_param,), keys=keys, time_col=time_col, chunks=chunks
     )
-    fitted = fit_sequence_model(frame, MARKET_SCALED, n_steps, (0.01,), choose_on=None)
-    return evaluate_sequence_model(fitted, frame, bounds, "price", keys=keys)
+    return sequence_metrics(models, bounds, "price", keys=keys)

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from seriesengine.functions.columns import join_on
 from seriesengine.operators.chunks import KEYS, over_rows
 
 
@@ -90,24 +92,46 @@ def chrono_split(
     )
 
 
+#: Rows of a series that share a range of the hash and are ranked together, on average.
+ROWS_PER_RANGE = 10_000
+
+
+def split_hash(keys: Sequence[str], time_col: str, seed: int, as_time: bool = True) -> Column:
+    """60 bits of the MD5 of keys, time (in microseconds) and seed, which SQL can make too."""
+    at = F.unix_micros(F.col(time_col).cast("timestamp")) if as_time else F.col(time_col)
+    named = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], at.cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
+
+
 def hash_split(
     df: DataFrame, test_size: float = 0.2, seed: int = 42,
-    *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",
+    *, keys: Sequence[str] = KEYS, time_col: str = "time",
 ) -> DataFrame:
-    """M1: exactly ceil(test_size * n) test rows per series, chosen by hash rank.
+    """M1: exactly ceil(test_size * n) test rows per series, those with the smallest hashes.
 
-    Repeatable and independent of row order and partitioning. Long series are cut
-    along the hash itself, which spreads evenly.
+    Repeatable and independent of row order and partitioning; rows of equal key and time are
+    told apart by no rule. The hash is even, so counts per range of it show in which range the
+    last test row lies. Only the rows of that one range are ranked: no series meets in a task.
     """
-    # 62 bits, so that differences of two hashes stay within a BIGINT.
-    hashed = df.withColumn(
-        "_hash", F.shiftright(F.xxhash64(*keys, time_col, F.lit(seed)), 2)
+    as_time = isinstance(df.schema[time_col].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    hashed = df.withColumn("_hash", split_hash(keys, time_col, seed, as_time))
+    size = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    sized = join_on(hashed, size.withColumn("_ranges", F.ceil(F.col("_rows") / ROWS_PER_RANGE)), list(keys))
+    placed = sized.withColumn("_range", F.floor(F.col("_hash") / F.lit(float(1 << 60)) * F.col("_ranges")))
+    along = Window.partitionBy(*keys).orderBy("_range")
+    counts = (
+        placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.max("_rows").alias("_rows"))
+        .withColumn("_to", F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_need", F.ceil(F.lit(test_size) * F.col("_rows")))
+        .where((F.col("_to") >= F.col("_need")) & (F.col("_to") - F.col("_n") < F.col("_need")))
+        .select(*keys, F.col("_range").alias("_last"), (F.col("_need") - F.col("_to") + F.col("_n")).alias("_take"))
     )
-
-    def build(d, w):
-        n_test = F.ceil(F.lit(test_size) * F.col("_total"))
-        return d.withColumn("split", F.when(F.col("_pos") < n_test, "test").otherwise("train"))
-
-    return over_rows(
-        hashed, build, keys=keys, order_by="_hash", ties=[time_col], positions=True, chunks=chunks
-    ).drop("_hash")
+    judged = join_on(placed, counts, list(keys))
+    ranked = Window.partitionBy(*keys, "_range").orderBy("_hash", time_col)
+    sure = judged.where("_range <> _last or _last is null").withColumn(
+        "split", F.when(F.col("_range") < F.col("_last"), "test").otherwise("train")
+    )
+    close = judged.where("_range = _last").withColumn("_at", F.row_number().over(ranked)).withColumn(
+        "split", F.when(F.col("_at") <= F.col("_take"), "test").otherwise("train")
+    )
+    return sure.select(*df.columns, "split").unionByName(close.select(*df.columns, "split"))

@@ -27,7 +27,6 @@ ARTICLES = """articles AS (
   SELECT doc_id, text AS title, text AS description, source AS url, lang,
          TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published_at
   FROM documents)"""
-NUDGE = 0.00000123
 W_SERIES = "WINDOW w AS (PARTITION BY series ORDER BY time)"
 
 
@@ -48,8 +47,8 @@ def _listed(terms) -> str:
 
 
 def near(expr: str, digits: int = 4) -> str:
-    """Rounded after the same small step off exact halves that the Spark side takes."""
-    return f"round({expr} + {NUDGE:.8f}, {digits})"
+    """Rounded by way of a decimal of three places more, as the Spark side does."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(38, {digits + 3})), {digits}) AS DOUBLE)"
 
 
 MEAN4 = "(open + high + low + close) / 4"
@@ -66,8 +65,8 @@ OHLC_FEATURES = f"""features AS (
 DAILY_AVERAGE = f"""daily AS (
   SELECT series, CAST(time AS DATE) AS date, avg({MEAN4}) AS average_price
   FROM bars GROUP BY 1, 2)"""
-WEEKDAYS = """SELECT s.series, CAST(d.day_no AS INTEGER) AS day_no, d.day_of_week,
-       round(a.v, 4) AS avg_daily_change
+WEEKDAYS = f"""SELECT s.series, CAST(d.day_no AS INTEGER) AS day_no, d.day_of_week,
+       {near('a.v')} AS avg_daily_change
 FROM (SELECT DISTINCT series FROM bars) s
 CROSS JOIN (VALUES (0, 'Monday'), (1, 'Tuesday'), (2, 'Wednesday'), (3, 'Thursday'),
                    (4, 'Friday'), (5, 'Saturday'), (6, 'Sunday')) d(day_no, day_of_week)
@@ -243,8 +242,8 @@ def _ll(k: str, n: str, p: str) -> str:
     return f"(ln(greatest({p}, 1e-10)) * {k} + ln(greatest(1 - {p}, 1e-10)) * ({n} - {k}))"
 
 
-TOP = """SELECT term, word, n, round(n / max(n) OVER (), 6) AS rel
-FROM (SELECT term, word, n FROM {source} ORDER BY n DESC, term LIMIT 200)"""
+TOP = f"""SELECT term, word, n, {near('n / max(n) OVER ()', 6)} AS rel
+FROM (SELECT term, word, n FROM {{source}} ORDER BY n DESC, term LIMIT 200)"""
 PAIRS = f"""pairs AS (
   SELECT a.word || ' ' || b.word AS pair FROM spoken a
   JOIN spoken b ON a.doc_id = b.doc_id AND b.at = a.at + 1
@@ -278,26 +277,26 @@ ORACLE: dict[str, str] = {
     "moving_averages": f"WITH {BARS}, {MOVING}",
     "moving_averages_cut_series": f"WITH {DAILY_BARS}, {MOVING}",
     "rolling_partial_mean": f"""WITH {TICKS}
-SELECT series, time, round(close, 4) AS close, round(avg(close) OVER {frame(5)}, 4) AS mean_5
+SELECT series, time, {near('close', 4)} AS close, {near('avg(close) OVER ' + frame(5))} AS mean_5
 FROM ticks""",
     "rolling_std": f"""WITH {TICKS}
-SELECT series, time, round(close, 4) AS close,
-       round({full('stddev_samp', 'close', 7)}, 4) AS std_7 FROM ticks""",
+SELECT series, time, {near('close', 4)} AS close,
+       {near(full('stddev_samp', 'close', 7))} AS std_7 FROM ticks""",
     "pct_change": f"""WITH {TICKS}
-SELECT series, time, round(close, 6) AS close, round({change('close')}, 6) AS change
+SELECT series, time, {near('close', 6)} AS close, {near(change('close'), 6)} AS change
 FROM ticks {W_SERIES}""",
     "pct_change_filled": f"""WITH {TICKS},
 gaps AS (SELECT series, time, CASE WHEN close >= 5 THEN close END AS close FROM ticks),
 f AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY series ORDER BY time
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM gaps)
-SELECT series, time, close, round({change('filled')}, 6) AS change FROM f {W_SERIES}""",
+SELECT series, time, close, {near(change('filled'), 6)} AS change FROM f {W_SERIES}""",
     "diff": f"""WITH {TICKS}
-SELECT series, time, close, round(close - lag(close) OVER w, 4) AS change FROM ticks {W_SERIES}""",
+SELECT series, time, close, {near('close - lag(close) OVER w', 4)} AS change FROM ticks {W_SERIES}""",
     "lag_close": f"""WITH {TICKS}
 SELECT series, time, close, lag(close) OVER w AS lag_close FROM ticks {W_SERIES}""",
     "ohlc_features": f"""WITH {DAILY_BARS}, {OHLC_FEATURES}
-SELECT series, time, open, high, low, close, round(moving_avg_5, 4) AS moving_avg_5,
-       round(moving_avg_10, 4) AS moving_avg_10, round(daily_return, 4) AS daily_return,
+SELECT series, time, open, high, low, close, {near('moving_avg_5', 4)} AS moving_avg_5,
+       {near('moving_avg_10', 4)} AS moving_avg_10, {near('daily_return', 4)} AS daily_return,
        CAST(day_of_week AS INTEGER) AS day_of_week, CAST(month AS INTEGER) AS month,
        CAST(year AS INTEGER) AS year FROM features""",
     "lag_features": f"""WITH {BARS}, l AS (SELECT *, lag(close) OVER w AS lag_close FROM bars {W_SERIES})
@@ -309,10 +308,10 @@ SELECT series, time, {', '.join(near(c) + f' AS {c}' for c in SCALED + OTHER)} F
 SELECT series, time, {', '.join(near(minmax(c)) + f' AS {c}' for c in SCALED)},
        {', '.join(near(c) + f' AS {c}' for c in OTHER)} FROM features""",
     "cap_to_volume": f"""WITH {METRICS}
-SELECT series, time, round(market_cap / NULLIF(total_volume, 0), 4) AS ratio FROM metrics""",
+SELECT series, time, {near('market_cap / NULLIF(total_volume, 0)', 4)} AS ratio FROM metrics""",
     "trailing_range": f"""WITH {METRICS},
 m AS (SELECT *, max(time) OVER (PARTITION BY series) AS last FROM metrics)
-SELECT series, time, round(price, 4) AS price, round(market_cap, 4) AS market_cap, total_volume
+SELECT series, time, {near('price', 4)} AS price, {near('market_cap', 4)} AS market_cap, total_volume
 FROM m WHERE time BETWEEN last - INTERVAL 30 DAY AND last""",
     "chart_overlay": f"""WITH {BARS}, {DAILY_AVERAGE}, {OHLC_FEATURES}
 SELECT series, date, 'history' AS kind, {near('average_price')} AS value FROM daily
@@ -333,7 +332,7 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""",
     "regression_metrics": f"""WITH {DAILY_BARS}, {OHLC_FEATURES},
 m AS (SELECT series, avg((close - moving_avg_5) * (close - moving_avg_5)) AS mse,
              avg(abs(close - moving_avg_5)) AS mae FROM features GROUP BY 1)
-SELECT series, round(mse, 2) AS mse, round(mae, 2) AS mae, round(sqrt(mse), 2) AS rmse FROM m""",
+SELECT series, {near('mse', 2)} AS mse, {near('mae', 2)} AS mae, {near('sqrt(mse)', 2)} AS rmse FROM m""",
     "merge_bars": MERGED,
     "new_bars": f"""WITH {LANDED}
 SELECT time, seq, value FROM batch WHERE time NOT IN (SELECT time FROM stored)
@@ -349,7 +348,7 @@ SELECT title, url, published_at FROM articles ORDER BY published_at DESC, url, t
 HAVING TIMESTAMP '2024-01-31' - max(ts) >= INTERVAL 6 HOUR""",
     "parse_ohlc_json": f"WITH {BARS} SELECT series, time, open, high, low, close FROM bars",
     "parse_market_json": f"""WITH {METRICS}
-SELECT series, time, round(price, 4) AS price, round(market_cap, 4) AS market_cap, total_volume
+SELECT series, time, {near('price', 4)} AS price, {near('market_cap', 4)} AS market_cap, total_volume
 FROM metrics""",
     "parse_news_json": f"""WITH {ARTICLES}
 SELECT doc_id, title, url, CAST(length(description) AS INTEGER) AS n_chars, published_at
@@ -357,7 +356,7 @@ FROM articles WHERE lang <> 'es'""",
     "lenient_time": """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderdate END AS time
 FROM orders""",
     "minmax_scale": f"""WITH {DAILY_BARS}
-SELECT series, time, {', '.join(f'round({minmax(c)}, 6) AS {c}' for c in V.PRICES)} FROM bars""",
+SELECT series, time, {', '.join(f'{near(minmax(c), 6)} AS {c}' for c in V.PRICES)} FROM bars""",
     "inverse_scale": f"WITH {DAILY_BARS} SELECT series, time, open, high, low, close FROM bars",
     "sequences": f"""WITH {BARS},
 n AS (SELECT *, row_number() OVER w AS i FROM bars {W_SERIES})
@@ -369,7 +368,7 @@ n AS (SELECT *, row_number() OVER w - 31 AS i, count(*) OVER (PARTITION BY serie
 s AS (SELECT *, CASE WHEN i < floor(CAST(0.7 AS DOUBLE) * total) THEN 'train'
         WHEN i < floor(CAST(0.85 AS DOUBLE) * total) THEN 'validation' ELSE 'test' END AS split FROM n WHERE i >= 0)
 SELECT series, split, count(*) AS n, min(time) AS first, max(time) AS last,
-       round(avg(close), 4) AS mean_y FROM s GROUP BY 1, 2""",
+       {near('avg(close)', 4)} AS mean_y FROM s GROUP BY 1, 2""",
     "series_tail": f"""WITH {TICKS} SELECT series, time, close FROM ticks
 QUALIFY row_number() OVER (PARTITION BY series ORDER BY time DESC) <= 30""",
     "chrono_split": f"""WITH {TICKS},
@@ -377,22 +376,27 @@ n AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY series
       FROM ticks {W_SERIES})
 SELECT series, time, close, CASE WHEN i < floor(CAST(0.7 AS DOUBLE) * total) THEN 'train'
   WHEN i < floor(CAST(0.85 AS DOUBLE) * total) THEN 'validation' ELSE 'test' END AS split FROM n""",
+    "hash_split_members": f"""WITH {TICKS}, h AS (
+  SELECT *, substr(md5(concat_ws('|', series, epoch_us(time), 42)), 1, 15) AS h,
+         ceil(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY series)) AS n FROM ticks)
+SELECT series, time, close, CASE WHEN row_number() OVER (PARTITION BY series ORDER BY h, time) <= n
+  THEN 'test' ELSE 'train' END AS split FROM h""",
     "hash_split_sizes": f"""WITH {TICKS}, n AS (SELECT series, count(*) AS n FROM ticks GROUP BY 1)
 SELECT series, 'test' AS split, CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS n FROM n
 UNION ALL SELECT series, 'train', n - CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) FROM n""",
     "gram_matrix": f"""WITH {DAILY_BARS}, {OHLC_FEATURES},
 x AS (SELECT series, {minmax('moving_avg_5')} AS a, {minmax('moving_avg_10')} AS b,
              {minmax('close')} AS y FROM features)
-SELECT series, count(*) AS n, round(sum(y), 4) AS sum_y, round(sum(a), 4) AS sum_x0,
-       round(sum(b), 4) AS sum_x1, round(sum(a * a), 4) AS x0x0, round(sum(a * b), 4) AS x0x1,
-       round(sum(b * b), 4) AS x1x1, round(sum(a * y), 4) AS sum_x0y,
-       round(sum(b * y), 4) AS sum_x1y FROM x GROUP BY 1""",
+SELECT series, count(*) AS n, {near('sum(y)', 4)} AS sum_y, {near('sum(a)', 4)} AS sum_x0,
+       {near('sum(b)', 4)} AS sum_x1, {near('sum(a * a)', 4)} AS x0x0, {near('sum(a * b)', 4)} AS x0x1,
+       {near('sum(b * b)', 4)} AS x1x1, {near('sum(a * y)', 4)} AS sum_x0y,
+       {near('sum(b * y)', 4)} AS sum_x1y FROM x GROUP BY 1""",
     "fit_ols": f"""WITH {DAILY_BARS}
-SELECT series, count(*) AS n, round(regr_intercept(close, open), 4) AS intercept,
-       round(regr_slope(close, open), 4) AS slope FROM bars GROUP BY 1""",
+SELECT series, count(*) AS n, {near('regr_intercept(close, open)', 4)} AS intercept,
+       {near('regr_slope(close, open)', 4)} AS slope FROM bars GROUP BY 1""",
     "future_frame": f"""WITH {BARS}, {OHLC_FEATURES},
-last AS (SELECT series, max(time) AS t, round(arg_max(moving_avg_5, time), 4) AS moving_avg_5,
-                round(arg_max(daily_return, time), 4) AS daily_return FROM features GROUP BY 1),
+last AS (SELECT series, max(time) AS t, {near('arg_max(moving_avg_5, time)', 4)} AS moving_avg_5,
+                {near('arg_max(daily_return, time)', 4)} AS daily_return FROM features GROUP BY 1),
 f AS (SELECT series, t + to_days(CAST(i AS INTEGER)) AS date, moving_avg_5, daily_return
       FROM last CROSS JOIN range(1, 31) r(i))
 SELECT series, date, moving_avg_5, daily_return, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week,
@@ -405,7 +409,7 @@ r AS (
   UNION ALL
   SELECT series, t, k + 1, list_prepend(list_sum(l) * 0.2 + 1, l[1:4]), list_sum(l) * 0.2 + 1
   FROM r WHERE k < 12)
-SELECT series, t + to_days(k) AS date, round(p, 4) AS predicted FROM r WHERE k > 0""",
+SELECT series, t + to_days(k) AS date, {near('p', 4)} AS predicted FROM r WHERE k > 0""",
     "forecast_deltas": f"""WITH {BARS}, {DAILY_AVERAGE}
 SELECT series, date, {near('average_price')} AS predicted_price,
        {near('average_price - lag(average_price) OVER w')} AS daily_change,
@@ -419,18 +423,22 @@ SELECT doc_id, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS pos, unnest(ws
 SELECT published_at, title, sentiment_compound FROM articles JOIN scores USING (doc_id)""",
     "term_frequency": f"WITH {TERMS}, {folded('kept', 'word', 'one')} {TOP.format(source='one')}",
     "bigram_llr": f"""WITH {TERMS}, {folded('kept', 'word', 'one')}, {PAIRS}
-SELECT bigram, word, n, first_term, second_term, round(llr, 3) AS llr FROM bigrams""",
+SELECT bigram, word, n, first_term, second_term, {near('llr', 3)} AS llr FROM bigrams""",
     "word_cloud": f"""WITH {TERMS}, {folded('kept', 'word', 'one')}, {PAIRS}, {CLOUD}
 {TOP.format(source='cloud')}""",
-    "stream_bars": f"""WITH {BARS}, done AS (SELECT max(ts) - INTERVAL 10 MINUTE AS t FROM events)
+    "stream_bars": f"WITH {BARS} SELECT series, time, open, high, low, close FROM bars",
+    "stream_daily_average": f"""WITH {BARS}, {DAILY_AVERAGE}
+SELECT series, date, {near('average_price')} AS average_price FROM daily""",
+    "stream_closed_bars": f"""WITH {BARS}, done AS (SELECT max(ts) - INTERVAL 10 MINUTE AS t FROM events)
 SELECT series, time, open, high, low, close FROM bars, done WHERE time + INTERVAL 4 HOUR <= t""",
-    "stream_daily_average": f"""WITH {BARS}, {DAILY_AVERAGE},
-done AS (SELECT max(time) - INTERVAL 1 HOUR AS t FROM bars)
-SELECT series, date, {near('average_price')} AS average_price FROM daily, done
-WHERE date + INTERVAL 1 DAY <= t""",
+    "replaced_table": f"""WITH {BARS}
+SELECT series, time, open, high, low, close FROM bars
+QUALIFY close > avg(close) OVER (PARTITION BY series)""",
     "stream_dedup": f"WITH {ARTICLES} SELECT DISTINCT title, url FROM articles",
     "stream_merge": MERGED,
     "stream_weekday_change": f"WITH {DAILY_BARS} {WEEKDAYS}",
     "stream_sentiment_counts": f"WITH {SCORES} {CLASSES}",
     "stream_rolling": f"WITH {BARS}, {MOVING}",
+    "stream_rolling_late": f"WITH {BARS}, {MOVING}",
 }
+ORACLE["merge_stored_articles"] = ORACLE["merge_articles"]

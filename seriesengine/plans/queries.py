@@ -16,8 +16,6 @@ import seriesengine as se
 from seriesengine.plans import views as V
 from seriesengine.session import shared_dir
 
-NUDGE = 0.00000123
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -30,11 +28,11 @@ def query(f: Query) -> Query:
     return f
 
 
-def rounded(df: DataFrame, digits: int = 4, nudge: float = 0.0) -> DataFrame:
-    """Round every double. Means of prices often lie exactly between two rounded values,
-    where a last-bit difference decides; ``nudge`` moves them off that point."""
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Round every double, by way of a decimal of three places more: a mean that lies exactly between
+    two rounded values has one place more, so no last bit decides which way it goes."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(F.col(c) + nudge, digits) for c in doubles})
+    return df.withColumns({c: F.round(F.col(c).cast(f"decimal(38,{digits + 3})"), digits).cast("double") for c in doubles})
 
 
 # -- rolling windows, features ----------------------------------------------------------------
@@ -42,14 +40,14 @@ def rounded(df: DataFrame, digits: int = 4, nudge: float = 0.0) -> DataFrame:
 
 @query
 def moving_averages(spark, d):
-    return rounded(se.moving_averages(V.bars(spark, d)), nudge=NUDGE)
+    return rounded(se.moving_averages(V.bars(spark, d)))
 
 
 @query
 def moving_averages_cut_series(spark, d):
     """The same windows with every series cut into chunks, as a very long one would be."""
     bars = V.daily_bars(spark, d)
-    return rounded(se.moving_averages(bars, chunks=se.plan_chunks(bars, rows_per_chunk=300)), nudge=NUDGE)
+    return rounded(se.moving_averages(bars, chunks=se.plan_chunks(bars, rows_per_chunk=300)))
 
 
 @query
@@ -96,12 +94,12 @@ def lag_features(spark, d):
 
 @query
 def market_features(spark, d):
-    return rounded(se.market_features(V.metrics(spark, d), scaled=False), nudge=NUDGE)
+    return rounded(se.market_features(V.metrics(spark, d), scaled=False))
 
 
 @query
 def market_features_scaled(spark, d):
-    return rounded(se.market_features(V.metrics(spark, d)), nudge=NUDGE)
+    return rounded(se.market_features(V.metrics(spark, d)))
 
 
 @query
@@ -120,20 +118,20 @@ def chart_overlay(spark, d):
     bars = V.bars(spark, d)
     ahead = se.future_frame(se.ohlc_features(bars), 5, frozen=["moving_avg_5"])
     forecast = ahead.withColumnRenamed("moving_avg_5", "predicted_price")
-    return rounded(se.chart_overlay(se.daily_average(bars), forecast), nudge=NUDGE)
+    return rounded(se.chart_overlay(se.daily_average(bars), forecast))
 
 
 @query
 def seasonal_decompose(spark, d):
     out = se.seasonal_decompose(V.daily_bars(spark, d))
-    return rounded(out.select("series", "time", "close", "trend", "seasonal", "residual"), 3, nudge=NUDGE)
+    return rounded(out.select("series", "time", "close", "trend", "seasonal", "residual"), 3)
 
 
 @query
 def seasonal_decompose_even(spark, d):
     """An even period (30 rows) on the daily metrics."""
     out = se.seasonal_decompose(V.metrics(spark, d), "price", period=30, min_rows=60)
-    return rounded(out.select("series", "time", "price", "trend", "seasonal", "residual"), 3, nudge=NUDGE)
+    return rounded(out.select("series", "time", "price", "trend", "seasonal", "residual"), 3)
 
 
 # -- aggregates and checks --------------------------------------------------------------------
@@ -141,7 +139,7 @@ def seasonal_decompose_even(spark, d):
 
 @query
 def daily_average(spark, d):
-    return rounded(se.daily_average(V.bars(spark, d)), nudge=NUDGE)
+    return rounded(se.daily_average(V.bars(spark, d)))
 
 
 @query
@@ -345,6 +343,12 @@ def chrono_split(spark, d):
     return se.chrono_split(V.ticks(spark, d))
 
 
+@query
+def hash_split_members(spark, d):
+    """Which row is in which part, of series that are ranked range by range."""
+    return se.hash_split(V.ticks(spark, d))
+
+
 @query
 def hash_split_sizes(spark, d):
     return se.hash_split(V.ticks(spark, d)).groupBy("series", "split").agg(
@@ -420,7 +424,7 @@ def forecast_deltas(spark, d):
     predictions = se.daily_average(V.bars(spark, d)).withColumnRenamed(
         "average_price", "predicted_price"
     )
-    return rounded(se.forecast_deltas(predictions), nudge=NUDGE)
+    return rounded(se.forecast_deltas(predictions))
 
 
 # -- text -------------------------------------------------------------------------------------
@@ -484,9 +488,20 @@ def _landed(spark, df: DataFrame) -> DataFrame:
     return se.read_landed(spark, path, df.schema, "parquet")
 
 
+def _landed_late(spark, df: DataFrame, run: Callable[[DataFrame], None]) -> None:
+    """Land nine tenths of the rows and ``run`` over them, then the other rows, all of them late."""
+    path, late = _folder(spark), F.pmod(F.hash("series", "time"), F.lit(10)) == 0
+    df.where(~late).write.parquet(path)
+    run(se.read_landed(spark, path, df.schema, "parquet"))
+    df.where(late).write.mode("append").parquet(path)
+    run(se.read_landed(spark, path, df.schema, "parquet"))
+
+
 def _finished(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
     path = _folder(spark)
     se.start_table(stream, f"{path}/table", f"{path}/checkpoint", mode).awaitTermination()
+    if mode == "complete":
+        return se.read_table(spark, f"{path}/table", stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
@@ -501,13 +516,35 @@ def _tick_stream(spark, d):
 
 @query
 def stream_bars(spark, d):
-    bars = _finished(spark, se.stream_bars(_tick_stream(spark, d), ties=["event_id"]))
+    """Every bar of the event stream, also the ones that are open at its end."""
+    path = _folder(spark)
+    ticks = _tick_stream(spark, d)
+    parts = se.bar_parts(ticks, ties=["event_id"])
+    se.start_parts(
+        ticks, lambda batch: se.bar_parts(batch, ties=["event_id"]), f"{path}/parts", f"{path}/checkpoint"
+    ).awaitTermination()
+    bars = se.merged_bars(se.read_table(spark, f"{path}/parts", parts.schema))
     return bars.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 @query
 def stream_daily_average(spark, d):
-    return rounded(_finished(spark, se.stream_daily_average(_landed(spark, V.bars(spark, d)))), nudge=NUDGE)
+    """Every day's average, though a tenth of the bars come after all others."""
+    path, bars = _folder(spark), V.bars(spark, d)
+
+    def run(stream):
+        se.start_parts(stream, se.daily_average_parts, f"{path}/parts", f"{path}/checkpoint").awaitTermination()
+
+    _landed_late(spark, bars, run)
+    parts = se.read_table(spark, f"{path}/parts", se.daily_average_parts(bars).schema)
+    return rounded(se.merged_daily_average(parts))
+
+
+@query
+def stream_closed_bars(spark, d):
+    """The bars whose window the watermark has closed, each written once."""
+    bars = _finished(spark, se.stream_bars(_tick_stream(spark, d), ties=["event_id"]))
+    return bars.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 @query
@@ -524,14 +561,36 @@ def stream_dedup(spark, d):
 def stream_merge(spark, d):
     """Line items merged into the stored orders batch by batch; one value per date stays."""
     path = _folder(spark)
-    _orders_as_stored(spark, d).transform(
-        lambda df: se.keep_first(df, ["time"], ["seq"])
-    ).write.parquet(f"{path}/table")
+    orders = se.keep_first(_orders_as_stored(spark, d), ["time"], ["seq"])
+    se.replace_table(orders, f"{path}/table", cell=se.day_cell("time"))
     stream = _landed(spark, _lines_as_batch(spark, d))
     se.start_merge(
-        stream, f"{path}/table", f"{path}/checkpoint", ["time"], ["seq"]
+        stream, f"{path}/table", f"{path}/checkpoint", ["time"], ["seq"], cell=se.day_cell("time")
     ).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+    return se.read_table(spark, f"{path}/table", stream.schema)
+
+
+@query
+def merge_stored_articles(spark, d):
+    """Labelled articles are stored by hash cells, all articles arrive; (title, url) is the key."""
+    path, articles = _folder(spark), V.articles(spark, d).select("doc_id", "title", "url")
+    labelled = articles.join(V.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    cell = se.hash_cell("title", "url")
+    se.merge_table(labelled, path, ["title", "url"], ["doc_id"], cell=cell)
+    se.merge_table(articles, path, ["title", "url"], ["doc_id"], cell=cell)
+    return se.read_table(spark, path, articles.schema)
+
+
+@query
+def replaced_table(spark, d):
+    """A table replaced by a result of its own: bars, then the bars above their series' mean close."""
+    path, bars = _folder(spark), V.bars(spark, d)
+    se.replace_table(bars, path)
+    stored = se.read_table(spark, path, bars.schema)
+    means = stored.groupBy("series").agg(F.avg("close").alias("mean"))
+    se.replace_table(stored.join(means, "series").where("close > mean").select(*bars.columns), path)
+    se.drop_unused(spark, path)
+    return se.read_table(spark, path, bars.schema)
 
 
 @query
@@ -552,4 +611,16 @@ def stream_rolling(spark, d):
     path = _folder(spark)
     stream = _landed(spark, V.bars(spark, d))
     se.start_rolling(stream, path, f"{path}/checkpoint").awaitTermination()
-    return rounded(se.read_rolling(spark, path), nudge=NUDGE)
+    return rounded(se.read_rolling(spark, path))
+
+
+@query
+def stream_rolling_late(spark, d):
+    """The same, with a tenth of the bars coming after all others, most of them very late."""
+    path = _folder(spark)
+
+    def run(stream):
+        se.start_rolling(stream, path, f"{path}/checkpoint").awaitTermination()
+
+    _landed_late(spark, V.bars(spark, d), run)
+    return rounded(se.read_rolling(spark, path))

@@ -19,7 +19,7 @@ def plan_of(df):
 
 PARTITIONED = [
     "moving_averages", "rolling_std", "pct_change", "ohlc_features", "market_features_scaled",
-    "seasonal_decompose", "daily_average", "weekday_change", "trailing_range", "merge_bars",
+    "seasonal_decompose", "daily_average", "weekday_change", "merge_bars",
     "new_bars", "minmax_scale", "sequences", "chrono_split", "hash_split_sizes", "gram_matrix",
     "series_tail", "duplicate_times", "lexicon_sentiment", "future_frame", "recursive_forecast",
 ]
@@ -55,6 +55,32 @@ def test_filters_reach_the_scan(spark):
     assert "GreaterThanOrEqual(ts" in plan_of(recent)
 
 
+def test_the_trailing_range_reaches_the_scan(spark):
+    plan = plan_of(se.trailing_range(V.ticks(spark, SF), 7))
+    scans = re.findall(r"FileScan parquet.*", plan)
+    assert any(re.search(r"DataFilters: \[.*ts >= .*subquery", s) for s in scans)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_decomposition_sorts_its_rows_once(spark):
+    made = []
+
+    def watch(df):
+        made.append(plan_of(df))
+        return materialize(df)
+
+    from seriesengine.operators import decompose
+
+    materialize = decompose.materialize
+    decompose.materialize = watch
+    try:
+        out = se.seasonal_decompose(V.daily_bars(spark, SF), chunks=None)
+    finally:
+        decompose.materialize = materialize
+    assert len(made) == 1 and made[0].count("Sort [") == 1
+    assert "FileScan parquet" in plan_of(out) and "l_shipdate" not in plan_of(out)
+
+
 @pytest.mark.parametrize("name", ["merge_bars", "merge_articles", "series_tail"])
 def test_keep_first_limits_before_the_shuffle(spark, name):
     plan = plan_of(QUERIES[name](spark, SF))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import seriesengine as se
+from seriesengine.operators import sequences
 from seriesengine.operators.chunks import assign_chunks, plan_chunks
 from conftest import collected
 
@@ -142,13 +143,15 @@ def test_rows_of_one_time_stay_together(spark):
     assert summed(None).exceptAll(summed(plan)).isEmpty()
 
 
-def test_hash_split_is_exact_and_independent_of_cuts(walks):
-    whole = se.hash_split(walks, chunks=None)
+@pytest.mark.parametrize("rows_per_range", [10_000, 7, 1])
+def test_hash_split_is_exact_and_independent_of_ranges(walks, monkeypatch, rows_per_range):
+    whole = se.hash_split(walks)
+    monkeypatch.setattr(sequences, "ROWS_PER_RANGE", rows_per_range)
     sizes = {(r[0], r[1]): r[2] for r in whole.groupBy("series", "split").count().collect()}
     assert sizes[("long", "test")] == 180 and sizes[("short", "test")] == 8
     assert sizes[("tiny", "test")] == 1
     again = se.hash_split(walks.repartition(5))
-    assert whole.exceptAll(again).isEmpty()
+    assert whole.exceptAll(again).isEmpty() and again.count() == whole.count()
 
 
 def test_reach_must_fit_the_chunk(walks):

@@ -65,32 +65,32 @@ def test_quoted_news_csv(spark, tmp_path):
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "csv", "json"])
-def test_write_and_read_back(spark, tmp_path, linear, fmt):
+def test_write_and_read_back(spark, tmp_path, slopes, fmt):
     path = str(tmp_path / fmt)
-    se.write_series(linear, path, fmt=fmt)
+    se.write_series(slopes, path, fmt=fmt)
     back = se.read_series(spark, path, S.OHLC, fmt)
-    assert linear.exceptAll(back).isEmpty() and back.count() == 50
+    assert slopes.exceptAll(back).isEmpty() and back.count() == 105
 
 
-def test_partitioned_write_and_self_overwrite(spark, tmp_path, linear):
+def test_partitioned_write_and_self_overwrite(spark, tmp_path, slopes):
     path = str(tmp_path / "t")
-    se.write_series(linear, path, partition_by=["series"])
+    se.write_series(slopes, path, partition_by=["series"])
     again = spark.read.parquet(path)
-    assert again.where("series = 'a'").count() == 50
+    assert again.where("series = 'down'").count() == 41
     with pytest.raises(ValueError):
         se.write_series(again, path)
 
 
-def test_checks(spark, linear):
+def test_checks(spark, slopes):
     with pytest.raises(ValueError, match="volume"):
-        se.require_columns(linear, ["close", "volume"])
+        se.require_columns(slopes, ["close", "volume"])
     with pytest.raises(ValueError):
-        se.require_columns(linear, ["close"], min_rows=51)
+        se.require_columns(slopes, ["close"], min_rows=106)
     with pytest.raises(ValueError):
-        se.ohlc_features(linear.limit(0))
+        se.ohlc_features(slopes.limit(0))
     with pytest.raises(ValueError):
-        se.ohlc_features(linear.unionByName(linear.limit(1)))
-    lost = linear.limit(2).withColumn("time", F.lit(None).cast("timestamp"))
+        se.ohlc_features(slopes.unionByName(slopes.limit(1)))
+    lost = slopes.limit(2).withColumn("time", F.lit(None).cast("timestamp"))
     assert se.duplicate_times(lost).first()["copies"] == 2
     assert se.quality_report(lost, ["time", "close"]).first()[1:] == (2, 2, 0)
 
@@ -158,9 +158,9 @@ def test_column_helpers(spark):
     assert [tuple(r) for r in got] == [(1.0, None, "Positive"), (None, None, "Neutral")]
 
 
-def test_overlay_and_latest(spark, linear):
-    daily = se.daily_average(linear)
+def test_overlay_and_latest(spark, slopes):
+    daily = se.daily_average(slopes)
     forecast = daily.withColumnRenamed("average_price", "predicted_price")
     assert se.chart_overlay(daily, forecast).groupBy("kind").count().count() == 2
-    news = linear.select(F.col("time").alias("published_at"), F.lit("u").alias("url"), F.lit("t").alias("title"))
-    assert se.latest_articles(news, 7).agg(F.min("published_at")).first()[0] == datetime(2023, 2, 13)
+    news = slopes.where("series = 'up'").select(F.col("time").alias("published_at"), F.lit("u").alias("url"), F.lit("t").alias("title"))
+    assert se.latest_articles(news, 7).agg(F.min("published_at")).first()[0] == datetime(2021, 4, 29)

@@ -1,6 +1,8 @@
 """Streams against the batch operators, with several micro-batches, restarts and late rows."""
 
+import shutil
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ def landing(spark, tmp_path):
 
 def finished(landing, stream, mode="append"):
     start_table(stream, f"{landing.path}/out", f"{landing.path}/ck", mode).awaitTermination()
+    if mode == "complete":
+        return se.read_table(landing.spark, f"{landing.path}/out", stream.schema)
     return landing.spark.read.parquet(f"{landing.path}/out")
 
 
@@ -88,8 +92,10 @@ def test_merge_adds_new_keys_once(spark, landing):
     path, on = f"{landing.path}/table", ["series", "time"]
 
     def run(ck):
-        se.start_merge(landing.stream(), path, f"{landing.path}/{ck}", on).awaitTermination()
-        return spark.read.parquet(path)
+        se.start_merge(
+            landing.stream(), path, f"{landing.path}/{ck}", on, cell=se.day_cell("time")
+        ).awaitTermination()
+        return se.read_table(spark, path, landing.stream().schema)
 
     landing.land(bars(spark, range(10)))
     assert run("ck").count() == 10
@@ -100,6 +106,26 @@ def test_merge_adds_new_keys_once(spark, landing):
     assert run("other").count() == 12
 
 
+def test_parts_hold_open_windows_and_late_rows(spark, landing):
+    def run(partial, name):
+        se.start_parts(landing.stream(), partial, f"{landing.path}/{name}", f"{landing.path}/ck_{name}").awaitTermination()
+        return se.read_table(spark, f"{landing.path}/{name}", partial(bars(spark, [0])).schema)
+
+    def ticks(df):
+        return se.bar_parts(df.select("series", "time", F.col("open").alias("value")))
+
+    landing.land(bars(spark, [h for h in range(0, 50) if h != 2]))
+    run(ticks, "bars"), run(se.daily_average_parts, "days")
+    landing.land(bars(spark, range(50, 75)).unionByName(bars(spark, [2], lambda h: 1e6)))
+    got = se.merged_bars(run(ticks, "bars")).orderBy("time").collect()
+    assert len(got) == 19 and (got[0]["open"], got[0]["high"], got[0]["close"]) == (0.0, 1e6, 3.0)
+    assert got[-1]["time"] == START + timedelta(hours=72) and got[-1]["close"] == float(74 % 17)
+    all_bars = bars(spark, [h for h in range(75) if h != 2]).unionByName(bars(spark, [2], lambda h: 1e6))
+    want = {r["date"]: r["average_price"] for r in se.daily_average(all_bars).collect()}
+    days = se.merged_daily_average(run(se.daily_average_parts, "days")).collect()
+    assert {r["date"]: pytest.approx(r["average_price"]) for r in days} == want
+
+
 def test_rolling_over_batches_with_a_late_row(spark, landing):
     path = f"{landing.path}/rolling"
 
@@ -123,10 +149,49 @@ def test_rolling_over_batches_with_a_late_row(spark, landing):
     assert settled(want).exceptAll(settled(got)).isEmpty()
 
 
-def test_too_late_row_is_dropped(spark, landing):
+def settled(df):
+    return df.select("series", "time", *[F.round(c, 9).alias(c) for c in ("average_price", "ma_7", "ma_30")])
+
+
+@pytest.mark.parametrize("late", [[0], [3, 4, 100], list(range(20, 190, 10)) + [210]])
+def test_rows_later_than_the_tail_are_put_in_their_place(spark, landing, late):
     path = f"{landing.path}/rolling"
-    landing.land(bars(spark, range(1, 80)))
+
+    def run():
+        se.start_rolling(landing.stream(), path, f"{landing.path}/ck").awaitTermination()
+        return se.read_rolling(spark, path)
+
+    landing.land(bars(spark, [h for h in range(200) if h not in late]))
+    run()
+    landing.land(bars(spark, [*late, 5, 200, 201], lambda h: float(h) if h == 5 else float(h % 17)))  # 5 is stored already
+    run()
+    landing.land(bars(spark, range(202, 220)))
+    got = run()
+    want = se.moving_averages(bars(spark, [h for h in range(220) if h != 210 or 210 in late] + ([] if 210 in late else [210])))
+    assert got.count() == 220 and settled(want).exceptAll(settled(got)).isEmpty()
+
+
+def test_a_lost_tail_is_an_error(spark, landing):
+    path = f"{landing.path}/rolling"
+    landing.land(bars(spark, range(40)))
+    se.start_rolling(landing.stream(), path, f"{landing.path}/ck").awaitTermination()
+    shutil.rmtree(f"{path}/tail/0")
+    landing.land(bars(spark, range(40, 50)))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        se.start_rolling(landing.stream(), path, f"{landing.path}/ck").awaitTermination()
+
+
+def test_a_repeated_batch_changes_nothing(spark, landing):
+    """The batch is run again after everything but the checkpoint was written."""
+    path = f"{landing.path}/rolling"
+    landing.land(bars(spark, [h for h in range(80) if h != 10]))
+    se.start_rolling(landing.stream(), path, f"{landing.path}/ck").awaitTermination()
+    landing.land(bars(spark, [10, 80]))
     se.start_rolling(landing.stream(), path, f"{landing.path}/ck").awaitTermination()
-    landing.land(bars(spark, [0]))
+    for name in ("1", ".1.crc"):
+        Path(f"{landing.path}/ck/commits/{name}").unlink()
     se.start_rolling(landing.stream(), path, f"{landing.path}/ck").awaitTermination()
-    assert se.read_rolling(spark, path).count() == 79
+    got = se.read_rolling(spark, path)
+    assert got.count() == 81 and settled(se.moving_averages(bars(spark, range(81)))).exceptAll(settled(got)).isEmpty()
+    stored = se.read_table(spark, f"{path}/stored", landing.stream().schema)
+    assert stored.count() == 81
