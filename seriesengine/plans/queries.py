@@ -393,22 +393,23 @@ def future_frame(spark, d):
 
 @query
 def ols_forecast(spark, d):
-    return se.ols_forecast(V.daily_bars(spark, d), 30)
+    return rounded(se.ols_forecast(V.daily_bars(spark, d), 30), 2)
 
 
 @query
 def ols_test_error(spark, d):
-    return se.fit_ols_forecast(V.bars(spark, d), 30).metrics
+    return rounded(se.fit_ols_forecast(V.bars(spark, d), 30).metrics)
 
 
 @query
 def sequence_forecast(spark, d):
-    return se.sequence_forecast(V.bars(spark, d), 30)
+    return rounded(se.sequence_forecast(V.bars(spark, d), 30))
 
 
 @query
 def market_model_error(spark, d):
-    return se.market_model_metrics(V.metrics(spark, d))
+    """Errors in price units; the mean square, of eleven digits, is left to its root."""
+    return rounded(se.market_model_metrics(V.metrics(spark, d)).drop("mse"), 2)
 
 
 @query

@@ -11,7 +11,6 @@ from tools.check import rows_of
 
 SF = "/root/testdata/sf0.001"
 ORACLE = {k: v for k, v in entry.oracle_sql().items() if k in QUERIES}
-WITHOUT_SQL = {"ols_forecast", "ols_test_error", "sequence_forecast", "market_model_error"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,7 @@ def db():
 
 
 def test_registration():
-    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+    assert set(QUERIES) == set(ORACLE)
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
