@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 #: most two substitutions has seven equal tokens under one of them (checked in the tests).
 MASKS = ((0, 1, 2, 4, 5, 6, 8), (0, 1, 2, 4, 7, 8, 9), (0, 3, 4, 5, 7, 8, 9))
 WINDOW, SUBSTITUTIONS = 13, 2
-#: Benchmark seeds (about 60 bytes each) up to which they are broadcast; beyond, both sides are shuffled.
+#: Benchmark seeds up to which they and the items' tokens are broadcast, at most about 60 MB; beyond,
+#: both sides are shuffled.
 BROADCAST_SEEDS = 1_000_000
 
 
@@ -23,7 +24,8 @@ def tokens(text: Column) -> Column:
     without spaces; none for null."""
     low = F.lower(F.coalesce(text, F.lit("")))
     single = f"{_BREAK}|(?<={_ALONE})(?={_RUN})|(?<={_RUN})(?={_ALONE})"
-    runs = F.when(low.rlike(_ALONE), F.split(low, single)).otherwise(F.split(low, _BREAK))
+    wide = F.octet_length(low) > F.length(low)  # else there is no such letter, and no need to look
+    runs = F.when(wide & low.rlike(_ALONE), F.split(low, single)).otherwise(F.split(low, _BREAK))
     return F.transform(F.array_remove(runs, ""), lambda t: F.xxhash64(t))
 
 
@@ -52,8 +54,9 @@ def benchmark_overlaps(
     a null key is kept as null; an empty table gives no rows. Other columns are not read. An item
     id may be null or stand on several texts: each is searched, and the best window of all counts.
 
-    The text is read once and never moved: seeds of every place meet the benchmark's seeds in a
-    broadcast join as long as those are few (counted first), and each hit is verified beside the
+    The text is read once and never moved: seeds of every place meet the benchmark's seeds, and
+    the hits their item's tokens, in broadcast joins as long as those are few (the tokens are counted
+    first: each makes at most three seeds), and each hit is verified beside the
     document's own tokens, so that only verified rows are shuffled. A benchmark too large for
     that is joined by shuffling the seeds, and its hits then meet both texts by their keys.
     """
@@ -64,32 +67,44 @@ def benchmark_overlaps(
         .dropDuplicates(["item", "item_hash"])
     )
     items = whole.filter(F.size("item_toks") >= WINDOW)
-    seeds = _seeds(items, "item_toks", ["item", "item_hash", "item_toks"], "item_at")
-    small = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
+    seeds = _seeds(items, "item_toks", ["item", "item_hash"], "item_at")
+    n_tokens = items.agg(F.sum(F.size("item_toks"))).first()[0] or 0
+    small = len(MASKS) * n_tokens <= BROADCAST_SEEDS
     own = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), tokens(F.col(text)).alias("toks"))
+    of_item = items.toDF("i", "i_hash", "item_toks")
+    its_item = F.col("item").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("i_hash"))
     if small:
-        found = _seeds(own, "toks", ["key", "text_hash", "toks"], "doc_at").join(F.broadcast(seeds), "seed")
+        met = _seeds(own, "toks", ["key", "text_hash", "toks"], "doc_at").join(F.broadcast(seeds), "seed")
+        found = met.join(F.broadcast(of_item), its_item)
     else:
-        met = (
-            _seeds(own, "toks", ["key", "text_hash"], "doc_at")
-            .join(seeds.drop("item_toks"), "seed").drop("seed").distinct()
-        )
-        of_item = items.toDF("i", "i_hash", "item_toks")
-        found = met.join(of_item, F.col("item").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("i_hash"))).join(
+        met = _seeds(own, "toks", ["key", "text_hash"], "doc_at").join(seeds, "seed").drop("seed").distinct()
+        found = met.join(of_item, its_item).join(
             own.withColumnRenamed("key", "k").dropDuplicates(["k", "text_hash"]),
             F.col("key").eqNullSafe(F.col("k")) & (met["text_hash"] == own["text_hash"]),
         ).select("key", met["text_hash"], "toks", "doc_at", "item", "item_toks", "item_at")
 
+    # A hit needs the tokens around it only. Cut here, before a row leaves the stage that holds the
+    # whole texts: a long text would else be copied for each of its hits.
+    back = WINDOW - 9
+    doc_from, item_from = (F.greatest(F.col(c) - back, F.lit(0)) for c in ("doc_at", "item_at"))
+    found = found.select(
+        "key", "text_hash", "item", "doc_at", "item_at", doc_from.alias("doc_from"), item_from.alias("item_from"),
+        F.size("toks").alias("n_doc"), F.size("item_toks").alias("n_item"),
+        F.slice("toks", doc_from + 1, F.lit(WINDOW + back)).alias("near"),
+        F.slice("item_toks", item_from + 1, F.lit(WINDOW + back)).alias("item_near"),
+    )
+
     def equal(a: Column) -> Column:  # tokens that agree in the window whose item place is a
         pairs = F.transform(
             F.sequence(F.lit(0), F.lit(WINDOW - 1)),
-            lambda k: F.get("item_toks", a + k) == F.get("toks", F.col("doc_at") - F.col("item_at") + a + k),
+            lambda k: F.get("item_near", a + k - F.col("item_from"))
+            == F.get("near", F.col("doc_at") - F.col("item_at") + a + k - F.col("doc_from")),
         )
         return F.size(F.filter(pairs, lambda same: same))
 
-    first = F.greatest(F.col("item_at") - (WINDOW - 9), F.lit(0), F.col("item_at") - F.col("doc_at"))
+    first = F.greatest(F.col("item_at") - back, F.lit(0), F.col("item_at") - F.col("doc_at"))
     last = F.least(
-        F.col("item_at"), F.size("item_toks") - WINDOW, F.size("toks") - WINDOW - F.col("doc_at") + F.col("item_at")
+        F.col("item_at"), F.col("n_item") - WINDOW, F.col("n_doc") - WINDOW - F.col("doc_at") + F.col("item_at")
     )
     windows = F.transform(
         F.sequence(first, last), lambda a: F.struct(equal(a).alias("n_equal"), (-a).alias("a"))
@@ -125,10 +140,16 @@ def benchmark_overlaps(
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text",
-    item: str = "item_id", item_text: str = "text",
+    item: str = "item_id", item_text: str = "text", least: int = 8,
 ) -> DataFrame:
-    """The rows of ``docs``, with all columns, that overlap with no benchmark item."""
+    """The rows of ``docs``, with all columns, that overlap with no benchmark item.
+
+    An overlap counts if it has ``least`` equal tokens or more: a shorter item, a word or two,
+    stands in texts by chance, and one such item must not empty a corpus. ``benchmark_overlaps`` reports
+    these too. Null and empty texts stay; rows repeated under one key and text go together.
+    """
     found = benchmark_overlaps(docs, benchmark, key=key, text=text, item=item, item_text=item_text)
+    found = found.filter(F.col("n_equal") >= least)
     bad = found.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).distinct()
     whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_id"), F.xxhash64(text).alias("_text_hash"))
     on = whole["_id"].eqNullSafe(bad["_key"]) & (whole["_text_hash"] == bad["_hash"])

@@ -20,4 +20,22 @@ def test_short_items(spark, monkeypatch, seeds):
     assert got == {
         (10, 1): (1, 0, 3), (11, 1): (4, 0, 2), (12, 2): (1, 0, 6), (13, 3): (2, 0, 13), (14, None): (0, 0, 2), (None, 1): (0, 0, 2)
     }
-    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()) == [15, 16, 17]
+    dropped = lambda **k: sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench, **k).collect() if r.doc_id)
+    assert dropped(least=1) == [15, 16, 17]
+    assert dropped(least=5) == [10, 11, 14, 15, 16, 17] and dropped() == [10, 11, 12, 14, 15, 16, 17]
+
+
+def test_one_common_word_does_not_empty_a_corpus(spark):
+    df = spark.createDataFrame([(i, f"the text of document {i}") for i in range(20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the")], "item_id long, text string")
+    assert decontaminate.drop_contaminated(df, bench).count() == 20
+    assert decontaminate.benchmark_overlaps(df, bench).count() == 20
+
+
+def test_a_long_item(spark):
+    """Its tokens go to the executors once, not with each of its seeds."""
+    words = [f"w{i}" for i in range(20_000)]
+    df = spark.createDataFrame([(1, " ".join(words[5000:5040])), (2, "other " * 50), (3, " ".join(words))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = decontaminate.benchmark_overlaps(df, bench)
+    assert sorted((r.doc_id, r.doc_token, r.item_token, r.n_equal) for r in got.collect()) == [(1, 0, 5000, 13), (3, 0, 0, 13)]
