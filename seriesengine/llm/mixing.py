@@ -39,12 +39,18 @@ def _stuck(errors: list[float]) -> bool:
     return len(errors) > PATIENCE and errors[-1] > 0.99 * errors[-1 - PATIENCE]
 
 
+def _joined(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    """Left join in which a null category is a category like others."""
+    named = right.withColumnRenamed(by, "_by")
+    return left.join(named, left[by].eqNullSafe(named["_by"]), "left").drop("_by")
+
+
 def _rake_here(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float) -> DataFrame:
     """``rake`` in one task."""
     dims = list(targets)
     wide = cells
     for i, (by, target) in enumerate(targets.items()):
-        wide = wide.join(F.broadcast(target.select(by, F.col("target").alias(f"_t{i}"))), by, "left")
+        wide = _joined(wide, target.select(by, F.col("target").alias(f"_t{i}")), by)
     names = wide.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +58,7 @@ def _rake_here(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: fl
         if table is None:
             return
         weight = np.array(table.column("weight").to_numpy(), np.float64)
+        most = table.column("most").to_numpy().astype(np.float64)
         groups = []
         for i, by in enumerate(dims):
             code = table.column(by).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
@@ -64,7 +71,7 @@ def _rake_here(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: fl
             for code, goal in groups:
                 sums = np.bincount(code, weight, len(goal))
                 factor = np.where(np.isnan(goal) | (sums == 0), 1.0, goal / np.where(sums == 0, 1.0, sums))
-                weight *= factor[code]
+                weight = np.minimum(weight * factor[code], most)
                 worst = max(worst, float(np.abs(factor - 1).max()))
             errors.append(worst)
         yield from table.set_column(names.index("weight"), "weight", pa.array(weight)).select(kept).to_batches()
@@ -73,9 +80,12 @@ def _rake_here(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: fl
     return materialize(wide.coalesce(1).mapInArrow(run, cells.schema))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = 1e-6) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = 1e-6, budget: float = 0.0) -> DataFrame:
     """``cells`` (one row for each combination of categories, with ``tokens``) plus ``weight``, the
-    share of tokens that the combination should have.
+    share of tokens that the combination should have, and ``most``, the largest it can have.
+
+    With a ``budget``, the share of all tokens that will be taken, no combination gets more than all
+    its tokens: such a one stays at that, and the others of its categories make up for it.
 
     Iterative proportional fitting: for each dimension in turn, weights are scaled so that
     their sums over its categories meet ``targets`` (category, target; shares that sum to 1).
@@ -87,7 +97,8 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
     """
     total, n = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
     targets = {by: materialize(t) for by, t in targets.items()}
-    now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
+    share = F.col("tokens") / F.lit(float(total or 1))
+    now = cells.withColumns({"weight": share, "most": share / budget if budget else F.lit(float("inf"))})
     if n <= SMALL_CELLS:
         return _rake_here(now, targets, tolerance)
     now, errors = materialize(now), []
@@ -96,9 +107,9 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
         for by, target in targets.items():
             sums = now.groupBy(by).agg(F.sum("weight").alias("_sum"))
             factor = F.coalesce(F.try_divide("target", "_sum"), F.lit(1.0))
-            factors = sums.join(target, by, "left").select(by, factor.alias("_f"))
-            now = now.join(factors, by, "left").withColumns(
-                {"weight": F.col("weight") * F.col("_f"), "_off": F.greatest("_off", F.abs(F.col("_f") - 1))}
+            factors = _joined(sums, target, by).select(by, factor.alias("_f"))
+            now = _joined(now, factors, by).withColumns(
+                {"weight": F.least(F.col("weight") * F.col("_f"), "most"), "_off": F.greatest("_off", F.abs(F.col("_f") - 1))}
             ).drop("_f")
         now = materialize(now)
         errors.append(now.agg(F.max("_off")).first()[0] or 0.0)
@@ -113,7 +124,7 @@ def raking_errors(raked: DataFrame, targets: Mapping[str, DataFrame]) -> dict[st
     for by, target in targets.items():
         sums = raked.groupBy(by).agg(F.sum("weight").alias("_sum"))
         off = F.abs(F.coalesce("_sum", F.lit(0.0)) / F.col("target") - 1)
-        out[by] = target.filter("target > 0").join(sums, by, "left").agg(F.max(off)).first()[0] or 0.0
+        out[by] = _joined(target.filter("target > 0"), sums, by).agg(F.max(off)).first()[0] or 0.0
     return out
 
 
@@ -132,27 +143,46 @@ def _categories(df: DataFrame, text: str, n: Column) -> DataFrame:
 DIMENSIONS = ("_source", "_lang", "_topic")
 
 
+def within_reach(cells: DataFrame, by: str, target: DataFrame, budget: float) -> DataFrame:
+    """``target`` with no category above the tokens it has, if ``budget`` of all tokens are taken.
+
+    A category that asks for more is taken whole, and what it lacks goes to the others in
+    proportion. There are as many rounds as categories fall short at most; a round is one number.
+    """
+    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    have = cells.groupBy(by).agg((F.sum("tokens") / F.lit(float(total * budget))).alias("_have"))
+    rows = materialize(_joined(target, have, by).withColumn("_have", F.coalesce("_have", F.lit(0.0))))
+    scale = 1.0
+    while True:
+        short = F.col("target") * scale >= F.col("_have")
+        kept, asked = rows.agg(F.sum(F.when(short, F.col("_have"))), F.sum(F.when(~short, F.col("target")))).first()
+        new = (1 - (kept or 0.0)) / asked if asked else scale
+        if new <= scale * (1 + 1e-12):
+            return rows.select(by, F.least(F.col("target") * scale, "_have").alias("target"))
+        scale = new
+
+
 def _probabilities(light: DataFrame, power: float, budget: float, targets: Mapping[str, DataFrame] | None) -> DataFrame:
     """For each combination of categories: ``tokens``, ``weight``, the probability ``p``, and the
     remaining error of each dimension.
 
-    p is in proportion to weight / tokens. The factor is the largest that keeps all p at most 1,
-    or one that gives ``budget`` of the tokens, whichever asks for less; so shares are met
-    in expectation, and no document is taken twice.
+    p is such that in expectation ``budget`` of the tokens are taken, in the raked shares; no
+    document is taken twice.
     """
+    if not 0 < budget <= 1:
+        raise ValueError("budget must be above 0, and 1 at most")
     cells = materialize(light.groupBy(*DIMENSIONS).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
     goals = targets or {d: tempered(cells, d, power) for d in DIMENSIONS}
-    raked = rake(cells, goals)
+    raked = rake(cells, {d: within_reach(cells, d, t, budget) for d, t in goals.items()}, budget=budget)
     errors = raking_errors(raked, goals)
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    top, total = raked.agg(F.max(ratio), F.sum("tokens")).first()
-    factor = min(1.0 / top, budget * total) if top else 0.0
+    total = raked.agg(F.sum("tokens")).first()[0] or 0
+    p = F.when(F.col("tokens") > 0, F.col("weight") * F.lit(float(budget * total)) / F.col("tokens")).otherwise(1.0)
     left = {f"{d}_error": F.lit(float(errors.get(d, 0.0))) for d in DIMENSIONS}
-    return materialize(raked.withColumns({"p": F.least(F.lit(1.0), F.coalesce(ratio * F.lit(factor), F.lit(1.0))), **left}))
+    return materialize(raked.drop("most").withColumns({"p": F.least(F.lit(1.0), p), **left}))
 
 
 def mix_documents(
-    df: DataFrame, *, key: str = "doc_id", text: str = "text", power: float = 0.85, budget: float = 1.0,
+    df: DataFrame, *, key: str = "doc_id", text: str = "text", power: float = 0.85, budget: float = 0.5,
     targets: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """One row per row of ``df``: ``key``, ``source``, ``lang``, ``topic``, ``n_tokens``,
@@ -162,7 +192,9 @@ def mix_documents(
 
     Token weights are raked to marginal targets over source, language and topic (by default
     tokens to the power 0.85 on each), and a document is sampled if a number that its key alone
-    decides is below its combination's probability. Tokens are words; null and empty texts
+    decides is below its combination's probability. In expectation ``budget`` of all tokens are
+    sampled; categories and combinations that have too few tokens for their share are taken whole, so a
+    rare one never sets the rate of the others (its error is told). Tokens are words; null and empty texts
     have none and are sampled with probability 1, as they change no share. Null categories are
     one category, null keys are decided alike, repeated rows too. A missing ``topic`` column is
     made from the text's length. Other columns are not read; an empty table gives no rows.
@@ -179,10 +211,11 @@ def mix_documents(
 
 
 def sample_documents(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", power: float = 0.85, budget: float = 1.0,
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", power: float = 0.85, budget: float = 0.5,
     targets: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """The sampled rows of ``docs``, with all their columns."""
+    """The sampled rows of ``docs``, with all their columns; see ``mix_documents``. Equal rows are
+    sampled together, null keys alike; an empty table stays empty."""
     n = F.size(words(F.col(text))).cast("long")
     slim = docs.select(*dict.fromkeys([key, text, *(c for c in ("source", "lang", "topic") if c in docs.columns)]))
     cells = _probabilities(_categories(slim, text, n).select("_tokens", *DIMENSIONS), power, budget, targets)
