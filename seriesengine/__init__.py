@@ -46,6 +46,6 @@ from seriesengine.streaming.streams import (
     stream_dedup,
 )
 from seriesengine.text.sentiment import (
-    default_modifiers, lexicon_sentiment, score_articles, tokens,
+    default_modifiers, lexicon_sentiment, read_lexicon, score_articles, tokens,
 )
 from seriesengine.text.terms import bigram_llr, term_counts, term_frequency, word_cloud

@@ -210,23 +210,23 @@ FROM scores GROUP BY 1"""
 
 _STOP = _listed(W.STOPWORDS)
 _WORD = W.WORD_PATTERN.replace("'", "''")
-TERMS = f"""lists AS (
+TERMS = f"""lists AS MATERIALIZED (
   SELECT doc_id, list_filter(
     list_transform(regexp_extract_all(text, '{_WORD}'), lambda t: regexp_replace(t, '''[sS]$', '')),
     lambda t: NOT regexp_full_match(t, '\\p{{Nd}}+')) AS ws FROM documents),
-spoken AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM lists),
+spoken AS MATERIALIZED (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM lists),
 kept AS (SELECT word FROM spoken WHERE lower(word) NOT IN ({_STOP}))"""
 
 
 def folded(source: str, c: str, out: str) -> str:
     """Counts per term with plurals folded; ``out`` is (term, word, n, base, has_singular)."""
-    return f"""{out}_a AS (
+    return f"""{out}_a AS MATERIALIZED (
   SELECT {c} AS sp, regexp_matches(lower({c}), '[^s]s$') AS pl, count(*) AS n
   FROM {source} GROUP BY 1, 2),
-{out}_b AS (
+{out}_b AS MATERIALIZED (
   SELECT *, CASE WHEN pl THEN lower(sp)[:-2] ELSE lower(sp) END AS base,
          CASE WHEN pl THEN sp[:-2] ELSE sp END AS stem FROM {out}_a),
-{out}_h AS (SELECT base, bool_or(NOT pl) AS has_singular, sum(n) AS n FROM {out}_b GROUP BY 1),
+{out}_h AS MATERIALIZED (SELECT base, bool_or(NOT pl) AS has_singular, sum(n) AS n FROM {out}_b GROUP BY 1),
 {out}_s AS (
   SELECT base, has_singular, CASE WHEN has_singular THEN stem ELSE sp END AS word,
          sum({out}_b.n) AS m FROM {out}_b JOIN {out}_h USING (base) GROUP BY 1, 2, 3),
@@ -253,12 +253,13 @@ surface AS (
   SELECT b.base AS base, lower(b.sp) AS form, any_value(h.n) AS n, bool_or(h.has_singular) AS hs
   FROM one_b b JOIN one_h h USING (base) GROUP BY 1, 2),
 canon AS (SELECT form, n, CASE WHEN hs THEN base ELSE base || 's' END AS canonical FROM surface),
+halved AS MATERIALIZED (
+  SELECT *, split_part(term, ' ', 1) AS one_half, split_part(term, ' ', 2) AS other_half FROM two),
 joined AS (
   SELECT t.term AS bigram, t.word, t.n, f.canonical AS first_term, s.canonical AS second_term,
-         CAST(t.n AS DOUBLE) AS k, CAST(f.n AS DOUBLE) AS c1, CAST(s.n AS DOUBLE) AS c2,
-         (SELECT CAST(count(*) AS DOUBLE) FROM kept) AS total
-  FROM two t JOIN canon f ON f.form = split_part(t.term, ' ', 1)
-  JOIN canon s ON s.form = split_part(t.term, ' ', 2)),
+         CAST(t.n AS DOUBLE) AS k, CAST(f.n AS DOUBLE) AS c1, CAST(s.n AS DOUBLE) AS c2, total
+  FROM halved t JOIN canon f ON f.form = one_half JOIN canon s ON s.form = other_half,
+       (SELECT CAST(count(*) AS DOUBLE) AS total FROM kept)),
 llrs AS (
   SELECT *, CASE WHEN total > c1 AND total > c2 THEN -2 * (
     {_ll('k', 'c1', '(c2 / total)')} + {_ll('(c2 - k)', '(total - c1)', '(c2 / total)')}

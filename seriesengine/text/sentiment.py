@@ -2,8 +2,8 @@
 
 A document is split inside its row, so every token is born next to its three
 predecessors and to the document's own flags (where "but" stands, whether the text
-mixes capitals). Nothing has to be brought together again by a window: tokens meet
-the lexicon in a join, and a partial aggregate folds them into one row per document
+mixes capitals, how many tokens it has). Only tokens that the lexicon knows become rows;
+they meet it in a join, and a partial aggregate folds them into one row per document
 before the only shuffle.
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from seriesengine.text import words as W
 
 MAX_BROADCAST_TERMS = 200_000
+#: Terms up to which tokens are looked up inside the document's row, before they become rows.
+MAX_ROW_TERMS = 50_000
 
 
 def words_of(text: Column) -> Column:
@@ -77,7 +79,22 @@ def _signed(value: Column, sign_of: Column) -> Column:
     return F.when(sign_of > 0, value).otherwise(-value)
 
 
-def _token_rows(df: DataFrame, col: str, id_col: str) -> DataFrame:
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """A lexicon file as (term, valence): lines of a term, a tab, its mean valence, and what else follows.
+
+    Terms are lower-cased; lines without a number are skipped, and of a repeated term the first
+    in alphabetical order of its line stays.
+    """
+    parts = F.split("value", "\t")
+    lines = spark.read.text(path).select(
+        F.lower(F.trim(parts[0])).alias("term"), F.get(parts, F.lit(1)).try_cast("double").alias("valence"), "value"
+    )
+    known = lines.where("term <> '' and valence is not null")
+    return known.groupBy("term").agg(F.min_by("valence", "value").alias("valence"))
+
+
+def _token_rows(df: DataFrame, col: str, id_col: str, terms: list[str] | None) -> DataFrame:
+    """A row for each token among ``terms`` (None: each token), or one without a token."""
     text = F.coalesce(F.col(col), F.lit(""))  # P10: only the scoring input is defaulted
     said = df.select(
         F.col(id_col).alias("_id"),
@@ -91,18 +108,21 @@ def _token_rows(df: DataFrame, col: str, id_col: str) -> DataFrame:
             "_mixed": (n_shouted > 0) & (n_shouted < F.size("_t")),
             # 1-based position of the first "but", 0 if there is none
             "_but": F.array_position(F.transform("_t", F.lower), F.lit("but")),
+            "_n": F.size("_t"),
         }
     )
+    placed = F.transform("_t", lambda t, i: F.struct(i.alias("_pos"), t.alias("_token")))
+    if terms is not None:
+        placed = F.filter(placed, lambda x: F.lower(x["_token"]).isin(terms))
     with_before = F.transform(
-        "_t",
-        lambda t, i: F.struct(
-            i.alias("_pos"),
-            t.alias("_token"),
-            *[F.get(F.col("_t"), i - d).alias(f"_prev{d}") for d in (1, 2, 3)],
+        placed,
+        lambda x: F.struct(
+            x["_pos"], x["_token"],
+            *[F.get(F.col("_t"), x["_pos"] - d).alias(f"_prev{d}") for d in (1, 2, 3)],
         ),
     )
     return described.select(
-        "_id", "_excl", "_quest", "_mixed", "_but", F.inline_outer(with_before)
+        "_id", "_excl", "_quest", "_mixed", "_but", "_n", F.inline_outer(with_before)
     )
 
 
@@ -127,10 +147,34 @@ def _modified(valence: Column, d: int) -> Column:
     louder = F.when(_shouted(previous) & F.col("_mixed"), _signed(F.lit(W.CAPS_INCREMENT), valence))
     scalar = F.when(boost != 0, signed + F.coalesce(louder, F.lit(0.0))).otherwise(F.lit(0.0))
     moved = valence + scalar * W.DISTANCE_DAMPING[d - 1]
-    negated = F.coalesce(f"_negates{d}", F.lit(False)) | F.coalesce(
-        F.lower(previous).contains("n't"), F.lit(False)
-    )
-    return F.when(negated, moved * W.NEGATION_FACTOR).otherwise(moved)
+    active = F.coalesce(f"_negates{d}", F.lit(False))
+    negated = active | F.coalesce(F.lower(previous).contains("n't"), F.lit(False))
+    out = F
+    for word, followed, factor in (
+        (W.NEVER, W.NEVER_FOLLOWED, W.NEVER_FACTOR), (W.WITHOUT, W.WITHOUT_FOLLOWED, 1.0)
+    ):
+        between = [F.coalesce(F.lower(f"_prev{k}").isin(*followed), F.lit(False)) for k in range(1, d)]
+        if between:
+            out = out.when(active & (F.lower(previous) == word) & reduce(Column.__or__, between), moved * factor)
+    return out.when(negated, moved * W.NEGATION_FACTOR).otherwise(moved)
+
+
+def _with_phrases(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Boosters of two words, among the three tokens before: their step is added as it is."""
+    for far, near in ((3, 2), (2, 1)):
+        pair = F.concat_ws(" ", F.lower(f"_prev{far}"), F.lower(f"_prev{near}"))
+        side = phrases.select(F.col("term").alias("_phrase"), F.col("boost").alias("_step"))
+        key = F.when(F.col(f"_prev{far}").isNotNull() & F.col("_valence").isNotNull(), pair)
+        rows = rows.join(F.broadcast(side), key == F.col("_phrase"), "left").withColumn(
+            "_v", F.col("_v") + F.coalesce("_step", F.lit(0.0))
+        ).drop("_phrase", "_step")
+    return rows
+
+
+def _with_least(valence: Column) -> Column:
+    least = F.coalesce(F.lower("_prev1") == W.LEAST, F.lit(False))
+    after = F.coalesce(F.lower("_prev2").isin(*W.LEAST_AFTER), F.lit(False))
+    return F.when(least & ~after, valence * W.NEGATION_FACTOR).otherwise(valence)
 
 
 def _steady_sum(value: Column) -> Column:
@@ -138,6 +182,14 @@ def _steady_sum(value: Column) -> Column:
     return F.round(F.sum(value), 9)
 
 
+def changing_phrases(modifiers: DataFrame, most: int = 1000) -> list:
+    """The boosters of two words, which are few: (term, boost)."""
+    found = modifiers.where("term like '% %' and boost <> 0").select("term", "boost").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} boosters of two words")
+    return found
+
+
 def lexicon_sentiment(
     df: DataFrame, col: str, id_col: str, lexicon: DataFrame, modifiers: DataFrame | None = None
 ) -> DataFrame:
@@ -145,14 +197,16 @@ def lexicon_sentiment(
 
     ``lexicon`` is (term, valence), lower case; ``modifiers`` is (term, boost, negates)
     and defaults to the published boosters and negations. ``id_col`` must be unique.
-    Rules: negation and boosters within three tokens before, unless that token is itself
-    in the lexicon; capitals in mixed-case text; "but" shifts weight to what follows;
-    exclamation and question marks. Idioms and emoji are left out.
+    Rules: negation and boosters (also of two words) within three tokens before, unless that
+    token is itself in the lexicon; "never so", "without doubt" and "least"; capitals in
+    mixed-case text; "but" shifts weight to what follows; exclamation and question marks.
+    Idioms and emoji are left out.
     """
     given = modifiers is not None
     modifiers = modifiers if given else default_modifiers(df.sparkSession)
     few = not given or fits_broadcast(modifiers)
-    small = fits_broadcast(lexicon)
+    known = [r["term"] for r in lexicon.select("term").distinct().limit(MAX_ROW_TERMS + 1).collect()]
+    small = len(known) <= MAX_ROW_TERMS or fits_broadcast(lexicon)
     terms = F.broadcast(lexicon) if small else lexicon
     changing = F.broadcast(modifiers) if few else modifiers
     valued = lexicon.join(changing.where("boost <> 0"), "term", "left_anti").select(
@@ -160,7 +214,7 @@ def lexicon_sentiment(
     )
     active = modifiers.join(terms, "term", "left_anti")
 
-    rows = _token_rows(df, col, id_col)
+    rows = _token_rows(df, col, id_col, known if len(known) <= MAX_ROW_TERMS else None)
     rows = rows.join(
         F.broadcast(valued) if small else valued, F.lower("_token") == F.col("_term"), "left"
     )
@@ -171,6 +225,10 @@ def lexicon_sentiment(
     rows = rows.withColumn("_v", valence + F.coalesce(shout, F.lit(0.0)))
     for d in (1, 2, 3):
         rows = rows.withColumn("_v", _modified(F.col("_v"), d))
+    phrases = [(r["term"], r["boost"]) for r in changing_phrases(modifiers)]
+    if phrases:
+        rows = _with_phrases(rows, df.sparkSession.createDataFrame(phrases, "term string, boost double"))
+    rows = rows.withColumn("_v", F.when(F.col("_v").isNotNull(), _with_least(F.col("_v"))))
     at = F.col("_pos") + 1
     weight = (
         F.when((F.col("_but") == 0) | (at == F.col("_but")), 1.0)
@@ -179,7 +237,7 @@ def lexicon_sentiment(
     )
     score = F.coalesce(F.col("_v") * weight, F.lit(0.0))
     scored = rows.select(
-        "_id", "_excl", "_quest", F.col("_token").isNotNull().alias("_said"), score.alias("_s")
+        "_id", "_excl", "_quest", "_n", score.alias("_s")
     )
     per_doc = scored.groupBy("_id").agg(
         F.max("_excl").alias("_excl"),
@@ -187,7 +245,7 @@ def lexicon_sentiment(
         _steady_sum(F.col("_s")).alias("_sum"),
         _steady_sum(F.when(F.col("_s") > 0, F.col("_s") + 1).otherwise(F.lit(0.0))).alias("_pos"),
         _steady_sum(F.when(F.col("_s") < 0, 1 - F.col("_s")).otherwise(F.lit(0.0))).alias("_neg"),
-        F.count_if(F.col("_said") & (F.col("_s") == 0)).alias("_neu"),
+        (F.max("_n") - F.count_if(F.col("_s") != 0)).alias("_neu"),  # all other tokens
     )
     return _summary(per_doc).withColumnRenamed("_id", id_col)
 

@@ -20,7 +20,7 @@ BOOSTERS_DOWN = (
     "almost", "barely", "hardly", "just enough", "kind of", "kinda", "kindof", "kind-of", "less",
     "little", "marginal", "marginally", "occasional", "occasionally", "partly", "scarce",
     "scarcely", "slight", "slightly", "somewhat", "sort of", "sorta", "sortof", "sort-of",
-)
+)  # two words: looked up as a pair
 NEGATIONS = (
     "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "ain't", "aren't",
     "can't", "couldn't", "daren't", "didn't", "doesn't", "dont", "hadnt", "hasnt", "havent",
@@ -31,6 +31,11 @@ NEGATIONS = (
     "rarely", "seldom", "despite",
 )
 NEGATION_FACTOR = -0.74
+# "never so good" and "never this good" praise, "without doubt good" is plain, "least good" denies,
+# but "at least good" and "very least good" do not.
+NEVER, NEVER_FOLLOWED, NEVER_FACTOR = "never", ("so", "this"), 1.25
+WITHOUT, WITHOUT_FOLLOWED = "without", ("doubt",)
+LEAST, LEAST_AFTER = "least", ("at", "very")
 DISTANCE_DAMPING = (1.0, 0.95, 0.9)
 CAPS_INCREMENT = 0.733
 EXCLAMATION = 0.292

@@ -38,6 +38,17 @@ CASES = [
     ("good? good??", compound(3.8 + 3 * 0.18)),
     ("good but bad", compound(0.95 - 3.75)),
     ("VERY good", compound(1.9 + 0.293 + 0.733)),
+    ("never so good", compound(((1.9 + 0.293) * 1.25))),
+    ("never was this good", compound(1.9 * 1.25)),
+    ("it was never good", compound(1.9 * -0.74)),
+    ("without doubt good", compound(1.9)),
+    ("without a doubt good", compound(1.9)),
+    ("without good", compound(1.9 * -0.74)),
+    ("least good", compound(1.9 * -0.74)),
+    ("at least good", compound(1.9)),
+    ("kind of good", compound(1.9 - 0.293)),
+    ("sort of a good book", compound(1.9 - 0.293)),
+    ("just enough bad", compound(-2.5 - 0.293)),
     ("nothing here", 0.0),
     ("", 0.0),
     (None, 0.0),
@@ -70,11 +81,21 @@ def test_large_word_tables_give_the_same_scores(spark, lexicon, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "id int, text string")
     modifiers = se.default_modifiers(spark)
     small = se.lexicon_sentiment(df, "text", "id", lexicon, modifiers).collect()
+    monkeypatch.setattr(sentiment, "MAX_ROW_TERMS", 1)
+    every_token = se.lexicon_sentiment(df, "text", "id", lexicon, modifiers)
+    assert sorted(map(tuple, every_token.collect())) == sorted(map(tuple, small))
     monkeypatch.setattr(sentiment, "fits_broadcast", lambda *_: False)
     shuffled = se.lexicon_sentiment(df, "text", "id", lexicon, modifiers)
     assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, small))
 
 
+def test_lexicon_files(spark, tmp_path):
+    path = tmp_path / "lexicon.txt"
+    path.write_text("good\t1.9\t0.9\t[2, 2]\nBad\t-2.5\nno number\tx\n\nshort\ngood\t9.9\n")
+    got = sorted(map(tuple, se.read_lexicon(spark, str(path)).collect()))
+    assert got == [("bad", -2.5), ("good", 1.9)]
+
+
 def test_distribution_order(spark):
     df = spark.createDataFrame([(0.1,), (-0.1,), (None,), (float("nan"),)], "sentiment_compound double")
     got = [tuple(r) for r in se.sentiment_distribution(df).collect()]
