@@ -141,19 +141,24 @@ def certified_cutoffs(good: DataFrame, stratum: str, risk: float, error: float)
 
     ``good`` holds the statistics of documents labelled good. For each stratum and rule the
     cutoffs are tested from lenient to strict by the exact binomial test of "the rule rejects
-    more than ``risk`` of the good documents"; the last before the first failure is taken
-    (fixed-sequence testing). The level is ``error`` divided by the number of strata and rules,
-    so that with probability 1 - ``error`` every chosen cutoff keeps its promise. A stratum with
-    too few labels gets no cutoff, and its documents pass.
+    more than its share of ``risk`` of the good documents", the rules having equal shares; the last
+    before the first failure is taken (fixed-sequence testing). The level is ``error`` divided by the
+    number of strata and rules. So with probability 1 - ``error``, in every stratum all rules
+    together reject at most ``risk`` of the good documents. A stratum with too few labels gets
+    no cutoff, and its documents pass.
     """
     all_rules = rules()
+    risk = risk / len(all_rules)
+
+    def lenient(rule: Rule) -> Column:  # how many cutoffs let a document pass: it violates the others
+        return F.size(F.filter(F.array(*map(F.lit, rule.cutoffs)), lambda c: rule.value <= c))
+
     levels = F.array(
         *(
             F.struct(
                 F.lit(r.name).alias("rule"),
                 F.array(*map(F.lit, r.cutoffs)).alias("cutoffs"),
-                # A value violates the cutoffs it exceeds: those from place `from` on.
-                F.size(F.filter(F.array(*map(F.lit, r.cutoffs)), lambda c, v=r.value: v <= c)).alias("from"),
+                lenient(r).alias("from"),  # the first place it violates
             )
             for r in all_rules
         )
