@@ -367,12 +367,10 @@ def drop_near_duplicates(
     hash; of equal rows, one. Null keys come last. Documents without shingles all stay.
     """
     _, named = _grouped(docs, key, text, n_words, percent)
-    keepers = named.groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_keep"), F.col("first._t").alias("_hash"))
-    whole = docs.select(
-        F.struct(*docs.columns).alias("_row"), F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text")
-    )
-    has_words = F.coalesce(F.col("_text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    empty = whole.filter(~has_words).select("_row.*")
-    on = whole["_key"].eqNullSafe(keepers["_keep"]) & (whole["_t"] == keepers["_hash"])
-    kept = whole.filter(has_words).join(keepers, on, "left_semi")
-    return kept.dropDuplicates(["_key", "_text"]).select("_row.*").unionByName(empty)
+    # A key as two columns that are never null: the join on them leaves equal rows together.
+    parts = lambda c: (F.coalesce(c, F.lit(0)).alias("_k"), c.isNull().alias("_none"))
+    keepers = named.groupBy("comp").agg(F.min("first").alias("first")).select(*parts(F.col("first._id")), F.col("first._t").alias("_t"))
+    has_words = F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    whole = docs.filter(has_words).select(F.struct(*docs.columns).alias("_row"), *parts(F.col(key).cast("long")), F.xxhash64(text).alias("_t"))
+    kept = whole.join(keepers, ["_k", "_none", "_t"], "left_semi").dropDuplicates(["_k", "_none", "_t"])
+    return kept.select("_row.*").unionByName(docs.filter(~has_words))
