@@ -19,6 +19,9 @@ from seriesengine.operators.forecast import (
     fit_ols_forecast, fit_sequence_forecast, forecast_deltas, future_frame, market_model_metrics,
     ols_forecast, recursive_forecast, sequence_forecast, tail_windows,
 )
+from seriesengine.operators.order import (
+    global_positions, order_violations, sorted_ranges, write_sorted,
+)
 from seriesengine.operators.quality import (
     duplicate_times, quality_report, require_columns, require_unique_times,
 )
@@ -35,6 +38,7 @@ from seriesengine.sources.files import latest_articles, read_series, write_serie
 from seriesengine.sources.ingest import (
     due_for_ingest, keep_first, merge_keep_first, new_rows, record_ingest,
 )
+from seriesengine.sources.pipeline import ingest
 from seriesengine.sources.tables import (
     ConcurrentWrite, append_table, day_cell, drop_unused, files_for, hash_cell, merge_table,
     read_table, replace_table, table_files, table_version,

@@ -352,8 +352,13 @@ HAVING TIMESTAMP '2024-01-31' - max(ts) >= INTERVAL 6 HOUR""",
 SELECT series, time, {near('price', 4)} AS price, {near('market_cap', 4)} AS market_cap, total_volume
 FROM metrics""",
     "parse_news_json": f"""WITH {ARTICLES}
-SELECT doc_id, title, url, CAST(length(description) AS INTEGER) AS n_chars, published_at
+SELECT doc_id, title, description, url, published_at
 FROM articles WHERE lang <> 'es'""",
+    "ingest_bars": f"WITH {BARS} SELECT series, time, open, high, low, close FROM bars",
+    "csv_bars": f"WITH {BARS} SELECT series, time, open, high, low, close FROM bars",
+    "load_or_empty": f"WITH {BARS} SELECT series, time, open, high, low, close FROM bars",
+    "time_order": "SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS position FROM events",
+    "sorted_files": "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_broken FROM events",
     "lenient_time": """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderdate END AS time
 FROM orders""",
     "minmax_scale": f"""WITH {DAILY_BARS}
@@ -422,6 +427,7 @@ SELECT doc_id, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS pos, unnest(ws
     "sentiment_distribution": f"WITH {SCORES} {CLASSES}",
     "sentiment_over_time": f"""WITH {ARTICLES}, {SCORES}
 SELECT published_at, title, sentiment_compound FROM articles JOIN scores USING (doc_id)""",
+    "term_counts": f"WITH {TERMS}, {folded('kept', 'word', 'one')} SELECT term, word, n FROM one",
     "term_frequency": f"WITH {TERMS}, {folded('kept', 'word', 'one')} {TOP.format(source='one')}",
     "bigram_llr": f"""WITH {TERMS}, {folded('kept', 'word', 'one')}, {PAIRS}
 SELECT bigram, word, n, first_term, second_term, {near('llr', 3)} AS llr FROM bigrams""",

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -274,11 +275,74 @@ def parse_news_json(spark, d):
     )
     parsed = se.parse_news_json(landed)
     return parsed.select(
-        "doc_id", "title", "url", F.length("description").alias("n_chars"),
+        "doc_id", "title", "description", "url",
         F.col("published_at").cast("timestamp_ntz").alias("published_at"),
     )
 
 
+@query
+def ingest_bars(spark, d):
+    """Payloads of two sources ingested at three times: the second time is within six hours of the
+    first for one of them, and what it brings is left for the third."""
+    path, ms = _folder(spark), _as_ms("time")
+    row = F.array(ms, "open", "high", "low", "close")
+    late = F.pmod(F.hash("time"), F.lit(3)) == 0
+
+    def run(source: str, rows: DataFrame, hour: int) -> bool:
+        landed = rows.groupBy("series", F.to_date("time").alias("_d")).agg(F.to_json(F.collect_list(row)).alias("value"))
+        return se.ingest(
+            source, landed.drop("_d"), se.parse_ohlc_json, f"{path}/bars", f"{path}/state", datetime(2024, 2, 1, hour),
+            on=["series", "time"], cell=se.day_cell("time"),
+        )
+
+    bars = V.bars(spark, d)
+    clicks, others = bars.where("series = 'click'"), bars.where("series <> 'click'")
+    done = [run("click", clicks.where(~late), 0), run("click", clicks, 5), run("others", others, 5), run("click", clicks, 6)]
+    done.append(run("others", others.withColumn("open", F.lit(0.0)), 11))  # stored rows win
+    if done != [True, False, True, True, True]:
+        raise ValueError(f"ingested: {done}")
+    stored = se.read_table(spark, f"{path}/bars", se.schemas.OHLC)
+    return stored.withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+@query
+def csv_bars(spark, d):
+    """Bars written as CSV by series, read back with a fixed schema and checked."""
+    path, order = _folder(spark), ["series", "time", *V.PRICES]
+    utc = V.bars(spark, d).withColumn("time", F.col("time").cast("timestamp"))
+    se.write_series(utc.select(*order), path, fmt="csv")
+    back = se.require_columns(se.read_series(spark, path, se.schemas.OHLC, "csv"), order, min_rows=30)
+    return back.withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+@query
+def load_or_empty(spark, d):
+    """A table that is not there yet is empty: the merge with it is the batch."""
+    absent = se.read_series(spark, _folder(spark), se.schemas.OHLC, missing_ok=True)
+    batch = V.bars(spark, d).withColumn("time", F.col("time").cast("timestamp"))
+    merged = se.merge_keep_first(absent, batch, ["series", "time"])
+    return merged.withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+@query
+def time_order(spark, d):
+    """The place of every event in the order of time, over all series."""
+    events = V.table(spark, d, "events").select("event_id", "ts")
+    return se.global_positions(events, ["ts", "event_id"], partitions=16)
+
+
+@query
+def sorted_files(spark, d):
+    """Events in sorted files: how many rows, and how many files break the order."""
+    path = _folder(spark)
+    events = V.table(spark, d, "events").select("event_id", "ts")
+    se.write_sorted(events, path, ["ts", "event_id"], partitions=16)
+    back = spark.read.schema(events.schema).parquet(path)
+    rows = back.agg(F.count(F.lit(1)).alias("n_rows"))
+    broken = se.order_violations(back, path, ["ts", "event_id"]).agg(F.count(F.lit(1)).alias("n_broken"))
+    return rows.withColumn("n_broken", broken.scalar())
+
+
 @query
 def lenient_time(spark, d):
     """Order dates as text, replaced by something unreadable on finished orders."""
@@ -460,6 +524,11 @@ def sentiment_over_time(spark, d):
     return chart.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 
+@query
+def term_counts(spark, d):
+    return se.term_counts(V.articles(spark, d), "description")
+
+
 @query
 def term_frequency(spark, d):
     return rounded(se.term_frequency(V.articles(spark, d), "description"), 6)

@@ -64,10 +64,11 @@ def parse_market_json(df: DataFrame, col: str = "value") -> DataFrame:
 
 
 def parse_news_json(df: DataFrame, col: str = "value") -> DataFrame:
-    """``{articles: […]}`` to one article per row; articles without a valid time dropped."""
-    found = F.from_json(col, NEWS_PAYLOAD)["articles"]
-    articles = _required(found, "no articles in the payload")
-    rows = df.select(*_others(df, col), F.inline(articles))
+    """``{articles: […]}`` to one article per row; articles without a valid time dropped.
+
+    A page without articles, as the last of a search is, gives no rows.
+    """
+    rows = df.select(*_others(df, col), F.inline(F.from_json(col, NEWS_PAYLOAD)["articles"]))
     return rows.withColumn("published_at", lenient_time("publishedAt")).drop("publishedAt").dropna(
         subset=["published_at"]
     )
