@@ -1,7 +1,8 @@
 """Row windows W1–W6: rolling statistics, changes and lags.
 
 Frames count rows, not days, as the bars may come at any interval. Every function
-takes ``keys``, ``time_col`` and ``chunks`` (see ``chunks.py``).
+takes ``keys``, ``time_col`` and ``chunks`` (see ``chunks.py``), and ``ties``: the columns that order
+rows of one time. Without them such rows come in any order.
 """
 
 from __future__ import annotations
@@ -34,52 +35,52 @@ def change(c: Column | str, w: WindowSpec, scale: float = 1.0) -> Column:
 
 def rolling_mean(
     df: DataFrame, col: str, n: int, out: str, min_periods: int | None = None,
-    *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",
+    *, keys: Sequence[str] = KEYS, time_col: str = "time", ties: Sequence[str] = (), chunks="auto",
 ) -> DataFrame:
     """W1 (full windows) and W2 (``min_periods=1``)."""
     return over_rows(
         df, lambda d, w: d.withColumn(out, rolling(F.avg, col, n, w, min_periods)),
-        keys=keys, order_by=time_col, before=n - 1, chunks=chunks,
+        keys=keys, order_by=time_col, ties=ties, before=n - 1, chunks=chunks,
     )
 
 
 def rolling_std(
     df: DataFrame, col: str, n: int, out: str, min_periods: int | None = None,
-    *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",
+    *, keys: Sequence[str] = KEYS, time_col: str = "time", ties: Sequence[str] = (), chunks="auto",
 ) -> DataFrame:
     """Sample standard deviation; one value alone has none (NULL)."""
     need = n if min_periods is None else max(min_periods, 2)
     return over_rows(
         df, lambda d, w: d.withColumn(out, rolling(F.stddev_samp, col, n, w, need)),
-        keys=keys, order_by=time_col, before=n - 1, chunks=chunks,
+        keys=keys, order_by=time_col, ties=ties, before=n - 1, chunks=chunks,
     )
 
 
 def lag(
     df: DataFrame, col: str, n: int, out: str,
-    *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",
+    *, keys: Sequence[str] = KEYS, time_col: str = "time", ties: Sequence[str] = (), chunks="auto",
 ) -> DataFrame:
     """The value n rows earlier."""
     return over_rows(
         df, lambda d, w: d.withColumn(out, F.lag(col, n).over(w)),
-        keys=keys, order_by=time_col, before=n, chunks=chunks,
+        keys=keys, order_by=time_col, ties=ties, before=n, chunks=chunks,
     )
 
 
 def diff(
     df: DataFrame, col: str, out: str,
-    *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",
+    *, keys: Sequence[str] = KEYS, time_col: str = "time", ties: Sequence[str] = (), chunks="auto",
 ) -> DataFrame:
     """Difference from the previous row; gaps are not filled."""
     return over_rows(
         df, lambda d, w: d.withColumn(out, F.col(col) - F.lag(col).over(w)),
-        keys=keys, order_by=time_col, before=1, chunks=chunks,
+        keys=keys, order_by=time_col, ties=ties, before=1, chunks=chunks,
     )
 
 
 def forward_fill(
     df: DataFrame, cols: dict[str, str],
-    *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",
+    *, keys: Sequence[str] = KEYS, time_col: str = "time", ties: Sequence[str] = (), chunks="auto",
 ) -> DataFrame:
     """Add each ``out`` in ``cols`` (source → out): the last non-missing value so far.
 
@@ -88,13 +89,14 @@ def forward_fill(
     combined before its shuffle.
     """
     plan = resolve_chunks(df, keys, time_col, chunks)
+    order = [F.col(c).asc_nulls_last() for c in (time_col, *ties)]
     if plan is None:
-        w = Window.partitionBy(*keys).orderBy(F.col(time_col).asc_nulls_last())
+        w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({o: _last(F.col(c), w) for c, o in cols.items()})
 
     keyed = [*plan.keys, "_chunk"]
     placed = assign_chunks(df, plan)
-    when = F.struct(F.col(time_col).isNull(), F.col(time_col))
+    when = F.struct(*[v for c in (time_col, *ties) for v in (F.col(c).isNull(), F.col(c))])
     ends = placed.where(F.col("_total").isNotNull()).groupBy(*keyed).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), when)).alias(f"_end_{o}")
           for c, o in cols.items()]
@@ -108,7 +110,7 @@ def forward_fill(
     )
     # One row per chunk of a long series: at most 2 * MAX_CHUNKS rows.
     joined = join_on(placed, F.broadcast(carried), keyed)
-    w = Window.partitionBy(*keyed).orderBy(F.col(time_col).asc_nulls_last())
+    w = Window.partitionBy(*keyed).orderBy(*order)
     filled = joined.withColumns(
         {o: F.coalesce(_last(F.col(c), w), F.col(f"_in_{o}")) for c, o in cols.items()}
     )
@@ -122,30 +124,30 @@ def _last(c: Column, w: WindowSpec) -> Column:
 
 def pct_change(
     df: DataFrame, col: str, out: str, fill: bool = True, scale: float = 1.0,
-    *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",
+    *, keys: Sequence[str] = KEYS, time_col: str = "time", ties: Sequence[str] = (), chunks="auto",
 ) -> DataFrame:
     """Relative change from the previous row, over forward-filled values by default."""
     plan = resolve_chunks(df, keys, time_col, chunks)
     source = "_filled" if fill else col
     if fill:
-        df = forward_fill(df, {col: source}, keys=keys, time_col=time_col, chunks=plan)
+        df = forward_fill(df, {col: source}, keys=keys, time_col=time_col, ties=ties, chunks=plan)
     out_df = over_rows(
         df, lambda d, w: d.withColumn(out, change(source, w, scale)),
-        keys=keys, order_by=time_col, before=1, chunks=plan,
+        keys=keys, order_by=time_col, ties=ties, before=1, chunks=plan,
     )
     return out_df.drop("_filled") if fill else out_df
 
 
 def moving_averages(
     df: DataFrame, windows: Sequence[int] = (7, 30),
-    *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",
+    *, keys: Sequence[str] = KEYS, time_col: str = "time", ties: Sequence[str] = (), chunks="auto",
 ) -> DataFrame:
     """P4 → W1 → P7: per bar the mean of its four prices and its moving averages."""
-    priced = df.select(*keys, time_col, row_mean(*PRICES).alias("average_price"))
+    priced = df.select(*keys, time_col, *ties, row_mean(*PRICES).alias("average_price"))
     return over_rows(
         priced,
         lambda d, w: d.withColumns(
             {f"ma_{n}": rolling(F.avg, "average_price", n, w) for n in windows}
         ),
-        keys=keys, order_by=time_col, before=max(windows) - 1, chunks=chunks,
+        keys=keys, order_by=time_col, ties=ties, before=max(windows) - 1, chunks=chunks,
     )

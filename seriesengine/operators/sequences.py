@@ -19,7 +19,7 @@ def _window_rows(features: Sequence[str], n_steps: int, w) -> Column:
 
 def sequences(
     df: DataFrame, features: Sequence[str], target: str, n_steps: int,
-    *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",
+    *, keys: Sequence[str] = KEYS, time_col: str = "time", ties: Sequence[str] = (), chunks="auto",
 ) -> DataFrame:
     """``x`` holds the features of the n_steps rows before, ``y`` the row's target.
 
@@ -30,7 +30,7 @@ def sequences(
         return d.withColumn("x", _window_rows(features, n_steps, w))
 
     framed = over_rows(
-        df, build, keys=keys, order_by=time_col, before=n_steps, chunks=chunks
+        df, build, keys=keys, order_by=time_col, ties=ties, before=n_steps, chunks=chunks
     )
     return framed.where(F.size("x") == n_steps).select(
         *keys, time_col, "x", F.col(target).cast("double").alias("y")
@@ -40,7 +40,7 @@ def sequences(
 def sequence_frame(
     df: DataFrame, features: Sequence[str], target: str, n_steps: int,
     cuts: Sequence[float], names: Sequence[str],
-    *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",
+    *, keys: Sequence[str] = KEYS, time_col: str = "time", ties: Sequence[str] = (), chunks="auto",
 ) -> DataFrame:
     """sequences with their chronological split, in one pass over the rows."""
 
@@ -51,7 +51,7 @@ def sequence_frame(
         return d.withColumn("x", _window_rows(features, n_steps, w)).withColumn("split", split)
 
     framed = over_rows(
-        df, build, keys=keys, order_by=time_col, before=n_steps, positions=True, chunks=chunks
+        df, build, keys=keys, order_by=time_col, ties=ties, before=n_steps, positions=True, chunks=chunks
     )
     return framed.where(F.size("x") == n_steps).select(
         *keys, time_col, "x", F.col(target).cast("double").alias("y"), "split"
@@ -59,10 +59,10 @@ def sequence_frame(
 
 
 def series_tail(
-    df: DataFrame, n: int, *, keys: Sequence[str] = KEYS, time_col: str = "time"
+    df: DataFrame, n: int, *, keys: Sequence[str] = KEYS, time_col: str = "time", ties: Sequence[str] = ()
 ) -> DataFrame:
     """The last n rows of every series; every map task passes on at most n per series."""
-    latest = Window.partitionBy(*keys).orderBy(F.col(time_col).desc_nulls_first())
+    latest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_first() for c in (time_col, *ties)])
     return (
         df.withColumn("_rank", F.row_number().over(latest)).where(F.col("_rank") <= n).drop("_rank")
     )
@@ -78,7 +78,7 @@ def _split_by_position(pos: Column, n: Column, cuts, names) -> Column:
 def chrono_split(
     df: DataFrame, cuts: Sequence[float] = (0.7, 0.85),
     names: Sequence[str] = ("train", "validation", "test"),
-    *, keys: Sequence[str] = KEYS, time_col: str = "time", chunks="auto",
+    *, keys: Sequence[str] = KEYS, time_col: str = "time", ties: Sequence[str] = (), chunks="auto",
 ) -> DataFrame:
     """Split by position in time; ``cuts`` are cumulative shares, rounded down."""
 
@@ -88,7 +88,7 @@ def chrono_split(
         )
 
     return over_rows(
-        df, build, keys=keys, order_by=time_col, positions=True, chunks=chunks
+        df, build, keys=keys, order_by=time_col, ties=ties, positions=True, chunks=chunks
     )
 
 

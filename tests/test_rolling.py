@@ -1,5 +1,7 @@
 """Row windows against pandas, and cut series against whole ones."""
 
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -163,3 +165,25 @@ def test_reach_must_fit_the_chunk(walks):
 def test_keys_are_needed(walks):
     with pytest.raises(ValueError):
         se.plan_chunks(walks, keys=())
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_ties_are_ordered_by_the_columns_named(spark, cut):
+    rows = [("a", datetime(2024, 1, 1 + i // 3), i, float((7 * i) % 11) if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "series string, time timestamp, id int, close double")
+    pdf = pd.DataFrame(rows, columns=["series", "time", "id", "close"])
+    want = pd.DataFrame({"id": pdf["id"], "mean": pdf["close"].rolling(4, min_periods=1).mean(), "lagged": pdf["close"].shift(1),
+                         "change": pdf["close"].ffill().pct_change(fill_method=None).replace([np.inf, -np.inf], np.nan)})
+    for seed in (1, 2):
+        shuffled = df.orderBy(F.rand(seed)).repartition(5)
+        chunks = se.plan_chunks(shuffled, rows_per_chunk=20) if cut else None
+        out = se.rolling_mean(shuffled, "close", 4, "mean", 1, ties=["id"], chunks=chunks)
+        out = se.lag(out, "close", 1, "lagged", ties=["id"], chunks=chunks)
+        out = se.pct_change(out, "close", "change", ties=["id"], chunks=chunks)
+        got = out.orderBy("id").toPandas()
+        for c in ("mean", "lagged", "change"):
+            np.testing.assert_allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=1e-9)
+        tail = se.series_tail(shuffled, 5, ties=["id"])
+        assert sorted(r["id"] for r in tail.collect()) == [55, 56, 57, 58, 59]
+        split = se.chrono_split(shuffled, ties=["id"], chunks=chunks).where("split = 'train'")
+        assert sorted(r["id"] for r in split.collect()) == list(range(42))
