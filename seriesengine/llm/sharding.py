@@ -74,13 +74,18 @@ def assign_shards(
     return df.withColumns(new)
 
 
+#: Copies of one row that are numbered together.
+COPIES_AT_ONCE = 10_000
+
+
 def number_slots(df: DataFrame, group: str, order: Sequence[str], buckets: int = 1024) -> DataFrame:
     """Rows of ``group`` and ``order`` with ``slot``, gapless from 0 within each group.
 
     A window over a whole group would put it in one task. Here equal rows are counted first,
     each group is cut into ``buckets`` hash buckets, rows are numbered inside their bucket, and
     the bucket's start comes from a table of groups x buckets counts. Slots depend only on the
-    set of rows, not on how they are stored.
+    set of rows, not on how they are stored. Nulls are values like others, in ``group`` too; equal
+    rows get slots next to each other; an empty table gives no rows.
     """
     cols = [group, *order]
     copies = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
@@ -93,8 +98,13 @@ def number_slots(df: DataFrame, group: str, order: Sequence[str], buckets: int =
     inside = (
         Window.partitionBy(group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = copies.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
-        starts, [group, "_bucket"]
-    )
-    each = placed.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    counted = copies.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    begins = starts.withColumnsRenamed({group: "_of", "_bucket": "_in"})
+    same = F.col(group).eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_in"))
+    placed = counted.join(begins, same).drop("_of", "_in")
+    # By blocks, so that no array holds all copies of a row.
+    zero, last = F.lit(0).cast("long"), F.col("_n") - 1
+    block = placed.withColumn("_block", F.explode(F.sequence(zero, F.floor(last / COPIES_AT_ONCE))))
+    begin = F.col("_block") * COPIES_AT_ONCE
+    each = block.withColumn("_i", F.explode(F.sequence(begin, F.least(last, begin + COPIES_AT_ONCE - 1))))
     return each.select(*cols, (F.col("_start") + F.col("_before") + F.col("_i")).alias("slot"))
