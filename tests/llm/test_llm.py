@@ -215,7 +215,7 @@ def test_fuzzy_lines(spark, docs, rows, empty):
     for v in together.values():
         for k, j in sorted(v)[1:]:
             gone[k].add(j)
-    got = {r.doc_id: r.removed_lines for r in line_dedup.dropped_lines(df).collect()}
+    got = {r.doc_id: r.removed_lines for r in line_dedup.dropped_lines(df, min_words=5, simhash_bits=3).collect()}
     assert {k: set(v) for k, v in got.items() if v} == gone and len(got) == len(dict(rows + extra))
     assert line_dedup.dropped_lines(empty).count() == 0
 
