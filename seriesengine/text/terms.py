@@ -140,10 +140,29 @@ def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
     return F.log(F.greatest(p, low)) * k + F.log(F.greatest(1 - p, low)) * (n - k)
 
 
+def _ratio(c12: Column, c1: Column, c2: Column, total: Column) -> Column:
+    """Dunning's log-likelihood ratio of a pair counted ``c12`` times, of words counted c1 and c2 times."""
+    p, p1 = c2 / total, c12 / c1
+    p2 = F.try_divide(c2 - c12, total - c1)
+    score = (
+        _log_likelihood(c12, c1, p) + _log_likelihood(c2 - c12, total - c1, p)
+        - _log_likelihood(c12, c1, p1) - _log_likelihood(c2 - c12, total - c1, p2)
+    )
+    return F.when((total > c1) & (total > c2), -2 * score).otherwise(F.lit(0.0))
+
+
 def _scored_pairs(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """(base, has_singular, n, first_*, second_*, llr) of the pairs above the threshold."""
+    """(base, has_singular, n, first_*, second_*, llr) of the pairs above the threshold.
+
+    With the pair's and the first word's counts fixed, the ratio falls with the second word's
+    count c2 until the words are independent, and rises from there (its slope is that of
+    logit((c2 - n) / (N - c1)) over logit(c2 / N)). So it is largest at one end: c2 = n, or the
+    count of the most frequent word. Pairs that miss the threshold at both ends go before their second
+    word is looked up; most pairs stand once and do.
+    """
     surface = _by_surface(words)
-    n_words = words.agg(F.sum("n").cast("double")).scalar()
+    known = words.agg(F.sum("n").cast("double").alias("all"), F.max("n").cast("double").alias("most")).first()
+    total, most = F.lit(known["all"] or 0.0), F.lit(known["most"] or 0.0)
 
     def side(name: str) -> DataFrame:
         # Forms are unique, so this side hashes evenly; hashing it spares sorting the pairs.
@@ -155,22 +174,13 @@ def _scored_pairs(pairs: DataFrame, words: DataFrame, threshold: float) -> DataF
 
     # The term of a pair ends in the surface form of its second word.
     halves = F.split(_term(), " ")
-    counted = (
-        pairs.withColumns({"_first": halves[0], "_second": halves[1]})
-        .join(side("first"), "_first")
-        .join(side("second"), "_second")
-        .withColumn("_all", n_words)
-    )
-    c12 = F.col("n").cast("double")
-    c1, c2, total = F.col("_first_n"), F.col("_second_n"), F.col("_all")
-    p, p1 = c2 / total, c12 / c1
-    p2 = F.try_divide(c2 - c12, total - c1)
-    score = (
-        _log_likelihood(c12, c1, p) + _log_likelihood(c2 - c12, total - c1, p)
-        - _log_likelihood(c12, c1, p1) - _log_likelihood(c2 - c12, total - c1, p2)
-    )
-    llr = F.when((total > c1) & (total > c2), -2 * score).otherwise(F.lit(0.0))
-    return counted.withColumn("llr", llr).where(F.col("llr") > threshold)
+    c12, c1, c2 = F.col("n").cast("double"), F.col("_first_n"), F.col("_second_n")
+    begun = pairs.withColumns({"_first": halves[0], "_second": halves[1]}).join(side("first"), "_first")
+    if threshold >= 0:
+        highest = F.greatest(_ratio(c12, c1, c12, total), _ratio(c12, c1, F.greatest(most, c12), total))
+        begun = begun.where(highest > threshold - 1e-6)  # a margin for rounding
+    scored = begun.join(side("second"), "_second").withColumn("llr", _ratio(c12, c1, c2, total))
+    return scored.where(F.col("llr") > threshold)
 
 
 def _counted_once(df: DataFrame, col: str, stopwords: Sequence[str]) -> tuple[DataFrame, DataFrame]:

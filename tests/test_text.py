@@ -172,7 +172,8 @@ def brute_llr(pairs, words):
     return out
 
 
-def test_bigrams(texts):
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 5.0])
+def test_bigrams(texts, threshold):
     listed = [brute_words(t) for t in TEXTS if t]
     words = brute_counts([w for ws in listed for w in ws if is_word(w)])
     pairs = brute_counts(
@@ -180,15 +181,35 @@ def test_bigrams(texts):
     )
     got = {
         r["bigram"]: (r["word"], r["n"], r["first_term"], r["second_term"], round(r["llr"], 6))
-        for r in se.bigram_llr(texts, "text", threshold=5.0).collect()
+        for r in se.bigram_llr(texts, "text", threshold=threshold).collect()
     }
-    assert got == {k: v for k, v in brute_llr(pairs, words).items() if v[-1] > 5.0} and got
+    assert got == {k: v for k, v in brute_llr(pairs, words).items() if v[-1] > threshold} and got
     assert got["new york"][1] == 3
 
-    cloud = {r["term"]: r["n"] for r in se.word_cloud(texts, "text", threshold=5.0).collect()}
+    cloud = {r["term"]: r["n"] for r in se.word_cloud(texts, "text", threshold=threshold).collect()}
     left = Counter({t: n for t, (_, n) in words.items()})
     for _, n, a, b, _ in got.values():
         left.subtract({a: n})
         left.subtract({b: n})
     want = {t: n for t, n in left.items() if n > 0} | {k: v[1] for k, v in got.items()}
     assert cloud == want
+
+
+def test_the_bound_of_the_ratio_holds(spark):
+    """At the ends of the second word's count the ratio is largest."""
+    import random
+
+    from seriesengine.text.terms import _ratio
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = []
+    for _ in range(3000):
+        total = rng.choice([50, 1000, 10**6, 10**9])
+        most = rng.randint(2, total // 2)
+        k = rng.randint(1, min(most, rng.choice([1, 3, 50])))
+        rows.append((float(k), float(rng.randint(k, most)), float(rng.randint(k, most)), float(most), float(total)))
+    df = spark.createDataFrame(rows, "k double, c1 double, c2 double, most double, total double")
+    k, c1, c2, most, total = (F.col(c) for c in df.columns)
+    highest = F.greatest(_ratio(k, c1, k, total), _ratio(k, c1, most, total))
+    assert df.where(_ratio(k, c1, c2, total) > highest * (1 + 1e-9) + 1e-6).isEmpty()
