@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesengine.llm.common import flat_bytes, mix64, utf8_bytes
-from seriesengine.session import materialize
+from seriesengine.session import discard, materialize
 
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x5851F42D4C957F2D
@@ -260,6 +260,7 @@ def remove_repeats(
         F.count(F.lit(1)).alias("n"), (F.min("h") != F.max("h")).alias("several")
     )
     shared = materialize(segments.join(anchors.filter("n > 1").select("m", "several"), "m"))
+    discard(segments)  # nearly all stand once
 
     by_text = shared.groupBy("t").agg(F.count(F.lit(1)).alias("_n")).select("t").withColumn("_has", F.lit(True))
     joined = docs.join(by_text, "t", "left").withColumn("n_bytes", utf8_bytes(F.col("_text")))
@@ -283,7 +284,9 @@ def remove_repeats(
         split.filter("sha is null").select("t", "_text").join(one, "t")
         .select("m", "h", content.alias("content")).groupBy("m", "h").agg(F.first("content").alias("content"))
     )
-    twice = whole.union(_repeated_windows(materialize(contexts), length))
+    contexts = materialize(contexts)
+    twice = whole.union(_repeated_windows(contexts, length))
+    discard(contexts)
     spans = shared.join(twice, ["m", "h"]).groupBy("t").agg(
         F.collect_set(F.struct((F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))).alias("spans")
     )
