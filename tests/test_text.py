@@ -213,3 +213,40 @@ def test_the_bound_of_the_ratio_holds(spark):
     k, c1, c2, most, total = (F.col(c) for c in df.columns)
     highest = F.greatest(_ratio(k, c1, k, total), _ratio(k, c1, most, total))
     assert df.where(_ratio(k, c1, c2, total) > highest * (1 + 1e-9) + 1e-6).isEmpty()
+
+
+SPELLED = (
+    "Cats chase Mice and CATS chase mice; cat's Cat catS naps", "Zurich Glass glass buses Bus BUS's",
+    "ΣΊΣΥΦΟΣ rolls Stones rolls STONES", "New York's New york new YORKS", "s S ss Ss class CLASSES",
+)
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 100_000])
+def test_spellings_and_rare_words(spark, monkeypatch, frequent):
+    """Words are named, and pairs scored, alike whether their words' counts are broadcast or not."""
+    from seriesengine.text import terms
+
+    monkeypatch.setattr(terms, "LOOKED_UP", frequent, raising=False)
+    df = spark.createDataFrame([(t,) for t in SPELLED * 3], "text string")
+    listed = [brute_words(t) for t in SPELLED * 3]
+    words = brute_counts([w for ws in listed for w in ws if is_word(w)])
+    pairs = brute_counts([f"{a} {b}" for ws in listed for a, b in zip(ws, ws[1:]) if is_word(a) and is_word(b)])
+    assert {r["term"]: (r["word"], r["n"]) for r in se.term_counts(df, "text").collect()} == words
+    got = {
+        r["bigram"]: (r["word"], r["n"], r["first_term"], r["second_term"], round(r["llr"], 6))
+        for r in se.bigram_llr(df, "text", threshold=0.5).collect()
+    }
+    assert got == {k: v for k, v in brute_llr(pairs, words).items() if v[-1] > 0.5} and got
+
+
+def test_counts_are_shuffled_once(spark):
+    """Terms are counted in one shuffle; spellings without capitals are not written besides."""
+    from pyspark.sql import functions as F
+
+    from seriesengine.text import terms
+
+    df = spark.createDataFrame([("plain words stand here Paris",)], "text string")
+    counted = terms._counted(terms.words_and_bigrams(df, "text"))
+    assert counted.where(F.col("kind") % 2 == 1).count() == 1  # the word Paris; no pair has it, as "here" is no term
+    plan = terms._terms(counted)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PartitionFilters: [isnotnull(kind" in plan
